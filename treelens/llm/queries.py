@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from pyspark.sql import functions as F
+
+from . import exact_dedup, line_dedup, mixing, sharding
 from .common import table
 
 
@@ -10,13 +12,23 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "leaf_budget", "copies", (F.col("copies") > 0).alias("kept"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op6_sharding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op6_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op10_mixing": mixing.ORACLE}
