@@ -47,7 +47,8 @@ class LineRuns:
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         writer = rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
-        writer.option("path", f"{self.scratch.base}/{name}").format("parquet").saveAsTable(name)
+        writer = writer.option("path", f"{self.scratch.base}/{name}").option("compression", "none")  # hashes don't shrink
+        writer.format("parquet").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
