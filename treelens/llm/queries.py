@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, sharding
+from . import exact_dedup, line_dedup, mixing, pieces, sharding
 from .common import table
 
 
@@ -17,6 +19,19 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def piece_model() -> str:
+    """The path of the vocabulary file; TREELENS_PIECES or the installed public file."""
+    if path := os.environ.get("TREELENS_PIECES"):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op4_sentencepiece(spark, sf_dir):
+    return pieces.tokenize(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -27,7 +42,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op6_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op4_sentencepiece, op6_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
