@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, pieces, sharding
+from . import exact_dedup, line_dedup, mixing, pieces, secrets, sharding
 from .common import table
 
 
@@ -36,13 +36,17 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark, sf_dir):
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "leaf_budget", "copies", (F.col("copies") > 0).alias("kept"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op4_sentencepiece, op6_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op4_sentencepiece, op6_sharding, op8_secret_scan, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
