@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, pieces, secrets, sharding
+from . import exact_dedup, line_dedup, mixing, pieces, quality, secrets, sharding
 from .common import table
 
 
@@ -19,6 +19,12 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.quality(docs, table(spark, sf_dir, "labels"))
+    return judged.drop("text")
+
+
 def piece_model() -> str:
     """The path of the vocabulary file; TREELENS_PIECES or the installed public file."""
     if path := os.environ.get("TREELENS_PIECES"):
@@ -46,7 +52,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op4_sentencepiece, op6_sharding, op8_secret_scan, op10_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op6_sharding, op8_secret_scan, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
