@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, pieces, quality, secrets, sharding
+from . import exact_dedup, lattice_lm, line_dedup, mixing, pieces, quality, secrets, sharding
 from .common import table
 
 
@@ -46,13 +46,17 @@ def op8_secret_scan(spark, sf_dir):
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark, sf_dir):
+    return lattice_lm.lm_score(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op10_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "leaf_budget", "copies", (F.col("copies") > 0).alias("kept"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op6_sharding, op8_secret_scan, op10_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op6_sharding, op8_secret_scan, op9_lm_score, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
