@@ -123,13 +123,14 @@ def line_dedup(docs: DataFrame, min_length: int = 20, min_docs: int = 3, batches
         runs.add(rows.where(F.col("batch") == i).select("doc_id", *KEY))
     common = scratch.write(runs.all().where(F.col("n_docs") >= min_docs).select(*KEY, "holder"), "common")
     runs.close()
-    drops = rows.join(common, KEY).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
+    # always by shuffle: the lists grow with the corpus, and a written table looks smaller than it is
+    drops = rows.join(common.hint("merge"), KEY).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
     drops = drops.groupBy("doc_id", "tag").agg(F.array_sort(F.array_distinct(F.collect_list("pos"))).alias("drops"))
     drops = scratch.write(drops.select(F.col("doc_id").alias("drop_id"), F.col("tag").alias("drop_tag"), F.col("drops").alias("drop_lines")), "drops")
     scratch.drop("lines", "common")
 
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("tag"))
-    joined = whole.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("tag") == F.col("drop_tag")), "left")
+    joined = whole.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("tag") == F.col("drop_tag")), "left")
     kept = F.when(F.col("drop_lines").isNull(), F.col("text")).otherwise(F.array_join(without(F.split("text", "\n"), F.col("drop_lines")), "\n"))
     n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
     out = [kept.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
