@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice_lm, line_dedup, mixing, pieces, quality, secrets, sharding
+from . import exact_dedup, lattice_lm, line_dedup, minhash, mixing, pieces, quality, secrets, sharding
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark, sf_dir):
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark, sf_dir):
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op6_sharding, op8_secret_scan, op9_lm_score, op10_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op6_sharding, op7_near_dedup, op8_secret_scan, op9_lm_score, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
