@@ -26,7 +26,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: No piece goes on across the start of a run of MARK, nor across a line feed: texts fall into these.
 SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Encoded segments kept by a worker, and the longest of them; a full memory is emptied.
-MEMORY, MEMORY_LENGTH = 200_000, 48
+MEMORY, MEMORY_LENGTH = 500_000, 48
 
 
 class PieceModel(dict):
@@ -56,10 +56,14 @@ class PieceModel(dict):
         self.surface = [self._surface(i) for i in range(len(self.names))]
         self.automaton = ahocorasick.Automaton()
         for p in self.score:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
-        self.single: dict[str, bool] = {}
-        self.pair: dict[tuple[str, str], bool] = {}
+        self.pair: dict[tuple[str | None, str], bool] = {}
+        self.characters = {p for p in self.score if len(p) == 1}
+        if not self.characters.issuperset("".join(self.score)):
+            raise ValueError("has pieces with characters that are no pieces")
+        known = "".join(map(re.escape, self.characters))
+        self.runs = re.compile(f"([{known}]+)|([^{known}]+)")
         self.prefixes: dict[str, str] = {}
 
     def _surface(self, i: int) -> bytes:
@@ -83,15 +87,11 @@ class PieceModel(dict):
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def fits(self, last: str | None, piece: str) -> bool:
-        if last is None:
-            if (known := self.single.get(piece)) is None:
-                known = self.single[piece] = self.merge(piece) == [piece]
-            return known
-        if (known := self.pair.get((last, piece))) is None:
-            if len(self.pair) >= 4 * MEMORY:
-                self.pair.clear()
-            known = self.pair[last, piece] = self.merge(last + piece) == [last, piece]
-        return known
+        """Whether merging gives these two again, or, without a last one, the piece alone."""
+        if len(self.pair) >= MEMORY:
+            self.pair.clear()
+        found = self.pair[last, piece] = self.merge((last or "") + piece) == ([last, piece] if last else [piece])
+        return found
 
     def shorter(self, piece: str) -> str:
         """The longest piece that is a proper prefix, or ''."""
@@ -103,44 +103,42 @@ class PieceModel(dict):
     def backtrack(self, text: str) -> list[str]:
         """The pieces of a text of known characters."""
         longest = [""] * len(text)
-        for end, p in self.automaton.iter(text):
-            start = end - len(p) + 1
-            if len(p) > len(longest[start]):
-                longest[start] = p
-        alive = bytearray(b"\xff" * (len(text) // 8 + 1))
+        for end, (back, p) in self.automaton.iter(text):
+            longest[end - back] = p  # ends only rise, so that the last piece at a start is the longest
+        size = len(text)
+        alive = bytearray(b"\xff" * (size // 8 + 1))
         out: list[str] = []
-        pos, piece = 0, longest[0]
-        while pos < len(text):
-            last = out[-1] if out else None
+        pairs, fits, shorter = self.pair, self.fits, self.shorter
+        last, pos, piece = None, 0, longest[0]
+        while pos < size:
             while piece:
                 end = pos + len(piece)
-                if alive[end >> 3] >> (end & 7) & 1 and self.fits(last, piece):
-                    break
-                piece = self.shorter(piece)
+                if alive[end >> 3] >> (end & 7) & 1:
+                    if (known := pairs.get((last, piece))) is None:
+                        known = fits(last, piece)
+                    if known:
+                        break
+                piece = shorter(piece)
             if piece:
                 out.append(piece)
-                pos = end
-                piece = longest[pos] if pos < len(text) else ""
+                last, pos = piece, end
+                piece = longest[pos] if pos < size else ""
             else:
                 alive[pos >> 3] &= ~(1 << (pos & 7)) & 0xFF
                 piece = out.pop()
                 pos -= len(piece)
+                last = out[-1] if out else None
         return out
 
     def __missing__(self, segment: str) -> tuple[int, ...]:
         """The ids of a segment; characters without a piece become their bytes."""
-        ids: list[int] = []
-        known = ""
-        for c in chain(segment, [None]):
-            if c is not None and c in self.score:
-                known += c
-                continue
-            if known:
-                ids += [self.ids[p] for p in self.backtrack(known)]
-                known = ""
-            if c is not None:
-                ids += [self.bytes[b] for b in c.encode()]
-        found = tuple(ids)
+        if self.characters.issuperset(segment):
+            found = tuple(map(self.ids.__getitem__, self.backtrack(segment)))
+        else:
+            ids: list[int] = []
+            for known, other in self.runs.findall(segment):
+                ids += map(self.ids.__getitem__, self.backtrack(known)) if known else map(self.bytes.__getitem__, other.encode("utf-8", "surrogatepass"))
+            found = tuple(ids)
         if len(segment) <= MEMORY_LENGTH:
             if len(self) >= MEMORY:
                 self.clear()
