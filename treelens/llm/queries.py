@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lattice_lm, line_dedup, minhash, mixing, pieces, quality, secrets, sharding
+from . import exact_dedup, lattice_lm, line_dedup, minhash, mixing, passages, pieces, quality, secrets, sharding
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op4_sentencepiece(spark, sf_dir):
     return pieces.tokenize(table(spark, sf_dir, "documents"), piece_model(), with_ids=False)
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return passages.passage_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_mixing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op6_sharding, op7_near_dedup, op8_secret_scan, op9_lm_score, op10_mixing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_quality_rules, op4_sentencepiece, op5_suffix_dedup, op6_sharding, op7_near_dedup, op8_secret_scan, op9_lm_score, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
