@@ -1,8 +1,55 @@
-"""From raw documents to token ids, stage by stage; each stage reads what its predecessor wrote."""
+"""From raw documents to token ids, in stages; each works on all that its predecessor kept.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs.  All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from treelens.llm import line_dedup, minhash, mixing, pieces, quality
+from treelens.llm.common import Scratch, table
+from treelens.llm.queries import piece_model
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that fail the base rules or are unlike the trusted ones go."""
+    judged = quality.quality(docs, table(spark, sf_dir, "labels"))
+    return judged.where("kept").select(*docs.columns)
+
+
+def common_lines(spark, docs, sf_dir):
+    """Lines that three documents or more share stay in one of them; n_chars follows the text."""
+    cut = line_dedup.line_dedup(docs)
+    return cut.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near-duplicates stays."""
+    kept = minhash.near_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def mixed(spark, docs, sf_dir):
+    """Each document as many times as epochs of its leaf take it."""
+    dealt = mixing.mix(docs).where("copies > 0")
+    return dealt.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def token_ids(spark, docs, sf_dir):
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    return pieces.tokenize(docs, piece_model())
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", common_lines), ("near_dedup", near_duplicates), ("mixing", mixed), ("sentencepiece", token_ids)]
+#: Hashed n-grams and signatures are not for SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for name, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    return docs
