@@ -1 +1 @@
-
+"""Column functions; all are built of Spark's own expressions."""

@@ -1 +1 @@
-
+"""No operator here: what this library answers is asked of bounded trees, and nothing in it has event time or state."""
