@@ -79,10 +79,13 @@ class LineRuns:
             self._push(level + 1, merged)
 
     def _merged(self, runs: list[str]) -> DataFrame:
+        """Runs as one, by full merge joins of their sorted buckets; every key is in a run at most once."""
         rows = self.spark.table(runs[0])
         for other in runs[1:]:
-            rows = rows.unionByName(self.spark.table(other))
-        return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
+            more = self.spark.table(other).select(*KEY, F.col("n_docs").alias("n_more"), F.col("holder").alias("holder_more"))
+            n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_more", F.lit(0))
+            rows = rows.join(more, KEY, "full").select(*KEY, n.alias("n_docs"), F.greatest("holder", "holder_more").alias("holder"))
+        return rows
 
     def all(self) -> DataFrame:
         return self._merged(self.tables())
@@ -113,8 +116,8 @@ def line_dedup(docs: DataFrame, min_length: int = 20, min_docs: int = 3, batches
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped").withColumn("text", F.coalesce("text", F.lit("")))
     scratch = Scratch(spark)
-    bounds = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
-    bounds = sorted({int(b) for b in bounds})
+    shares = [i / batches for i in range(1, batches)]
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] or [])) if shares else []
     batch = sum((F.when(F.col("doc_id") <= b, 1).otherwise(0) for b in bounds), F.lit(0))  # 0: the largest ids
     rows = line_rows(docs, min_length).withColumn("batch", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(batch))
     rows = scratch.write(rows, "lines")
