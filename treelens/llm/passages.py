@@ -35,7 +35,7 @@ LENGTH, SEED = 100, 32
 #: Places at which an anchor can be in a string.
 PLACES = LENGTH - SEED + 1
 #: Bytes of text of one part, and bytes that are hashed at once.
-PART_BYTES, AT_ONCE = 16_000_000, 4_000_000
+PART_BYTES, AT_ONCE = 16_000_000, 1_000_000
 OPEN = 5_000
 #: Stands for a null doc_id, which comes after all others.
 NO_ID = 2**63 - 1
