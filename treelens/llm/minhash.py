@@ -8,10 +8,13 @@ first, two such documents meet in the first COORDINATES - MATCHES + 1 lists of
 both (prefix), and the longest MATCHES - 1 are never merged (skip).  Lists of
 one document come first of all: most documents have no other and end here.
 
-What meets in a short list is joined into blocks.  Within a block collisions
-are counted list by list, pairs below the match threshold are left, and the
-rest are confirmed on their full shingle sets, except pairs that are already
-connected.  Documents with equal sets are one throughout.
+Each list has a hub, its smallest document, and every other one is confirmed
+against it on full shingle sets, by tasks of a bounded number of documents: a
+group of near copies, however large, is settled so.  Lists whose documents are
+then not all connected are open.  What meets in open lists is joined into
+blocks.  Within a block collisions are counted list by list, pairs below the
+match threshold are left, and the rest are confirmed, except pairs that are
+already connected.  Documents with equal sets are one throughout.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from .common import Scratch, free_shuffles
 from .components import components
 
 COORDINATES, MATCHES, WIDTH, PERCENT = 32, 16, 5, 85
-#: Documents of a task that confirms blocks; a block is never divided.
-BLOCK_DOCS = 400
+#: Documents of a task that confirms pairs.  Documents of one hub are divided; a block never is.
+TASK_DOCS = 400
 #: Stands for a null doc_id, which is thus never the smallest.
 NO_ID = 2**63 - 1
 #: Words whose hashes a worker keeps; words hashed at once.
@@ -139,13 +142,21 @@ def profiles(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
     return ids.mapInArrow(work, "id long, n_shingles long, s1 long, s2 long, lists array<long>")
 
 
-def links_in_block(ids: list[int], sets: list, sigs: list, matches: int, percent: int) -> list[int]:
-    """For each document of a block the smallest id it is linked with, directly or not."""
+def alike(a, b, percent: int) -> bool:
+    """Whether two sets are linked; those of too different sizes can't be."""
     import numpy as np
 
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def links_in_block(ids: list[int], labels: list[int], sets: list, sigs: list, matches: int, percent: int) -> list[int]:
+    """For each document of a block the smallest id it is linked with, directly or not; those with one label are linked."""
     n = len(ids)
     parent = list(range(n))
-    by_id: dict[int, int] = {}
+    known: dict[int, int] = {}
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -160,8 +171,8 @@ def links_in_block(ids: list[int], sets: list, sigs: list, matches: int, percent
                 x, y = y, x
             parent[y] = x
 
-    for i, own in enumerate(ids):  # rows that repeat an id are one document
-        union(i, by_id.setdefault(own, i))
+    for i, label in enumerate(labels):
+        union(i, known.setdefault(label, i))
     lengths: dict[int, int] = defaultdict(int)
     rows = [postings(s).tolist() for s in sigs]
     for row in rows:
@@ -184,11 +195,7 @@ def links_in_block(ids: list[int], sets: list, sigs: list, matches: int, percent
                     if j in tested:
                         continue
                     tested.add(j)
-                    # sets of too different sizes can't be alike
-                    if 100 * len(sets[j]) < percent * len(sets[i]) or int((sigs[i] == sigs[j]).sum()) < matches:
-                        continue
-                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    if int((sigs[i] == sigs[j]).sum()) >= matches and alike(sets[i], sets[j], percent):
                         union(i, j)
                         break
             groups = defaultdict(list)
@@ -199,24 +206,52 @@ def links_in_block(ids: list[int], sets: list, sigs: list, matches: int, percent
     return [ids[find(i)] for i in range(n)]
 
 
-def confirm(blocks: DataFrame, width: int, coordinates: int, matches: int, percent: int) -> DataFrame:
-    """(id, component) of the documents of blocks (task, block, id, text)."""
+def confirm_hubs(pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): the documents of groups (task, hub, salt, id, text) that are linked with their hub, whose own text is among them."""
+
+    def work(key, table):
+        hashes, members = WordHashes(), defaultdict(list)
+        found = {"a": [], "b": []}
+        ids, hubs, salts = (table[c].to_pylist() for c in ("id", "hub", "salt"))
+        sets = list(shingle_sets((v.as_py() for v in table["text"]), hashes, width))
+        for i in range(len(ids)):
+            if len(sets[i]):
+                members[hubs[i], salts[i]].append(i)
+        for (hub, _), rows in members.items():
+            own = [i for i in rows if ids[i] == hub]
+            for i in rows:
+                if ids[i] != hub and any(alike(sets[i], sets[k], percent) for k in own):
+                    found["a"].append(ids[i])
+                    found["b"].append(hub)
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in found.items()})
+
+    return pairs.groupBy("task").applyInArrow(work, "a long, b long")
+
+
+def confirm_blocks(blocks: DataFrame, width: int, coordinates: int, matches: int, percent: int) -> DataFrame:
+    """(a, b): documents of blocks (task, block, id, label, text) and the smallest they are linked with."""
 
     def work(key, table):
         hashes, seeds, members = WordHashes(), _seeds(coordinates), defaultdict(list)
-        found = {"id": [], "component": []}
+        found = {"a": [], "b": []}
         for i, block in enumerate(table["block"].to_pylist()):
             members[block].append(i)
         for rows in members.values():
             part = table.take(pa.array(rows))
             sets = list(shingle_sets((v.as_py() for v in part["text"]), hashes, width))
-            ids = part["id"].to_pylist()
+            ids, labels = part["id"].to_pylist(), part["label"].to_pylist()
             full = [i for i, s in enumerate(sets) if len(s)]
-            found["id"] += [ids[i] for i in full]
-            found["component"] += links_in_block([ids[i] for i in full], [sets[i] for i in full], [signature(sets[i], seeds) for i in full], matches, percent)
+            found["a"] += [ids[i] for i in full]
+            found["b"] += links_in_block([ids[i] for i in full], [labels[i] for i in full], [sets[i] for i in full], [signature(sets[i], seeds) for i in full], matches, percent)
         return pa.table({k: pa.array(v, pa.int64()) for k, v in found.items()})
 
-    return blocks.groupBy("task").applyInArrow(work, "id long, component long")
+    return blocks.groupBy("task").applyInArrow(work, "a long, b long")
+
+
+def dealt(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with the number of a task, by key; about TASK_DOCS rows a task."""
+    tasks = max(1, -(-rows.count() // TASK_DOCS))
+    return rows.withColumn("task", F.pmod(F.xxhash64(*key), F.lit(tasks)).cast("int"))
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -242,17 +277,34 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, coor
     prefix = shared.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - matches + 1)
     prefix = scratch.write(prefix.select("rep", "list"), "prefix")
     heads = prefix.groupBy("list").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = prefix.join(heads.hint("merge"), "list").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    blocks = scratch.write(components(edges, scratch), "blocks")
-    tasks = max(1, -(-blocks.count() // BLOCK_DOCS))
+    met = scratch.write(prefix.join(heads.hint("merge"), "list").select("rep", "list", "head"), "met")
     scratch.drop("shared", "prefix")
     free_shuffles(spark)
-
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    texts = texts.join(blocks.select(F.col("node").alias("id"), F.col("component").alias("block")).hint("merge"), "id")
-    texts = texts.withColumn("task", F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("int"))
-    linked = confirm(texts, width, coordinates, matches, percent)
-    linked = scratch.write(linked.groupBy("id").agg(F.min("component").alias("component")), "linked")
+    wanted = met.select(F.col("rep").alias("id")).distinct()
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    texts = scratch.write(own.join(wanted.hint("merge"), "id"), "texts")
+
+    # documents of one hub are divided by salt; the hub's text goes to each part
+    pairs = met.where("rep <> head").select(F.col("head").alias("hub"), F.col("rep").alias("id")).distinct()
+    salts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TASK_DOCS).cast("int").alias("salts"))
+    pairs = pairs.join(salts.hint("merge"), "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    hubs = salts.select("hub", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    both = dealt(scratch.write(pairs.unionByName(hubs), "pairs"), "hub", "salt")
+    linked = scratch.write(confirm_hubs(both.join(texts.hint("merge"), "id"), width, percent), "hub_links")
+    labels = scratch.write(components(linked, scratch, "hub_stars"), "labels")
+
+    labelled = met.select("rep", "list").join(labels.select(F.col("node").alias("rep"), F.col("component")).hint("merge"), "rep", "left")
+    labelled = scratch.write(labelled.select("rep", "list", F.coalesce("component", "rep").alias("label")), "labelled")
+    opened = labelled.groupBy("list").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    opened = scratch.write(labelled.join(opened.hint("merge"), "list").select("rep", "label", "least"), "opened")
+    blocks = components(opened.select(F.col("label").alias("a"), F.col("least").alias("b")), scratch, "block_stars")
+    members = opened.select(F.col("rep").alias("id"), "label").distinct()
+    members = members.join(blocks.select(F.col("node").alias("label"), F.col("component").alias("block")).hint("merge"), "label")
+    members = dealt(scratch.write(members, "blocks"), "block")
+    more = confirm_blocks(members.join(texts.hint("merge"), "id"), width, coordinates, matches, percent)
+    linked = components(linked.union(more), scratch, "stars").select(F.col("node").alias("id"), "component")
+    linked = scratch.write(linked, "linked")
+    scratch.drop("texts", "met", "pairs", "labelled", "opened")
 
     reps = classes.select("s1", "s2", "rep").join(linked.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
     reps = scratch.write(reps.select("s1", "s2", F.coalesce("component", "rep").alias("component")), "reps")
