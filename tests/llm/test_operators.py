@@ -382,3 +382,23 @@ def test_queries_are_registered():
 
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
     assert "pipeline" in entry.queries()
+
+
+def test_near_dedup_divides_large_blocks(spark, docs, monkeypatch):
+    """Groups whose members are not all like their hub, in parts of a few documents."""
+    import random
+
+    r = random.Random(6)
+    rows = []
+    for g in range(3):
+        base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        for i in range(50):
+            w = list(base)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(120)] = f"x{r.randrange(10**6)}"
+            rows.append((100 * i + g, " ".join(w)))
+    monkeypatch.setattr(minhash, "TASK_DOCS", 8)
+    got = by_id(minhash.near_dedup(docs(rows)))
+    wanted = brute_near(rows)
+    assert {i: (x.n_shingles, x.component_id, x.kept) for i, x in got.items()} == wanted
+    assert 3 < len({w[1] for w in wanted.values()}) < 100

@@ -57,7 +57,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, shared_dir(spark)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, slim: bool = False) -> DataFrame:
+        """The table, read back.  Tables of slim rows are written by three tasks a core, so that there are no thousands of tiny files."""
+        if slim:
+            df = df.coalesce(max(1, 3 * self.spark.sparkContext.defaultParallelism))
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 

@@ -15,7 +15,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
     with the logarithm of the nodes.  A hub with many neighbours is one key of
     a join, which Spark may split, and never one row or one task.
     """
-    current = scratch.write(edges.select("a", "b").where("a <> b").distinct(), f"{name}_0")
+    current = scratch.write(edges.select("a", "b").where("a <> b").distinct(), f"{name}_0", slim=True)
     last, i = None, 0
     while True:
         mark = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -30,7 +30,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
-        current = scratch.write(small.distinct(), f"{name}_{i}")
+        current = scratch.write(small.distinct(), f"{name}_{i}", slim=True)
         scratch.drop(f"{name}_{i - 1}")
     own = current.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("component"))
     return own.groupBy("node").agg(F.min("component").alias("component"))

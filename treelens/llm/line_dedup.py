@@ -124,7 +124,7 @@ def line_dedup(docs: DataFrame, min_length: int = 20, min_docs: int = 3, batches
     runs = LineRuns(scratch, fan_in)
     for i in range(len(bounds) + 1):
         runs.add(rows.where(F.col("batch") == i).select("doc_id", *KEY))
-    common = scratch.write(runs.all().where(F.col("n_docs") >= min_docs).select(*KEY, "holder"), "common")
+    common = scratch.write(runs.all().where(F.col("n_docs") >= min_docs).select(*KEY, "holder"), "common", slim=True)
     runs.close()
     # always by shuffle: the lists grow with the corpus, and a written table looks smaller than it is
     drops = rows.join(common.hint("merge"), KEY).where(~F.col("doc_id").eqNullSafe(F.col("holder")))

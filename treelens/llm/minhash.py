@@ -14,7 +14,9 @@ group of near copies, however large, is settled so.  Lists whose documents are
 then not all connected are open.  What meets in open lists is joined into
 blocks.  Within a block collisions are counted list by list, pairs below the
 match threshold are left, and the rest are confirmed, except pairs that are
-already connected.  Documents with equal sets are one throughout.
+already connected.  A block of many documents is divided into parts, and every
+two parts are one task, except two parts of what one hub has connected.
+Documents with equal sets are one throughout.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .common import Scratch, free_shuffles
 from .components import components
 
 COORDINATES, MATCHES, WIDTH, PERCENT = 32, 16, 5, 85
-#: Documents of a task that confirms pairs.  Documents of one hub are divided; a block never is.
+#: Documents of a task that confirms pairs, about; those of one hub, and of one block, are divided beyond.
 TASK_DOCS = 400
 #: Stands for a null doc_id, which is thus never the smallest.
 NO_ID = 2**63 - 1
@@ -152,9 +154,13 @@ def alike(a, b, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def links_in_block(ids: list[int], labels: list[int], sets: list, sigs: list, matches: int, percent: int) -> list[int]:
-    """For each document of a block the smallest id it is linked with, directly or not; those with one label are linked."""
+def links_in_block(ids: list[int], labels: list[int], parts: list[int], sets: list, sigs: list, matches: int, percent: int) -> list[int]:
+    """For each document the smallest id it is linked with, directly or not; those with one label are linked.
+
+    Of two different parts only pairs across are looked at; others have a task of their own.
+    """
     n = len(ids)
+    across = len(set(parts)) > 1
     parent = list(range(n))
     known: dict[int, int] = {}
 
@@ -192,7 +198,7 @@ def links_in_block(ids: list[int], labels: list[int], sets: list, sigs: list, ma
                 if root == find(i):
                     continue
                 for j in group:
-                    if j in tested:
+                    if j in tested or across and parts[i] == parts[j]:
                         continue
                     tested.add(j)
                     if int((sigs[i] == sigs[j]).sum()) >= matches and alike(sets[i], sets[j], percent):
@@ -229,25 +235,47 @@ def confirm_hubs(pairs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def confirm_blocks(blocks: DataFrame, width: int, coordinates: int, matches: int, percent: int) -> DataFrame:
-    """(a, b): documents of blocks (task, block, id, label, text) and the smallest they are linked with."""
+    """(a, b): documents of blocks (task, block, i, j, id, label, text) and the smallest of their two parts they are linked with."""
 
     def work(key, table):
         hashes, seeds, members = WordHashes(), _seeds(coordinates), defaultdict(list)
         found = {"a": [], "b": []}
-        for i, block in enumerate(table["block"].to_pylist()):
-            members[block].append(i)
+        for at, key in enumerate(zip(*(table[c].to_pylist() for c in ("block", "i", "j")), strict=True)):
+            members[key].append(at)
         for rows in members.values():
             part = table.take(pa.array(rows))
             sets = list(shingle_sets((v.as_py() for v in part["text"]), hashes, width))
-            ids, labels = part["id"].to_pylist(), part["label"].to_pylist()
+            columns = [part[c].to_pylist() for c in ("id", "label", "own")]
             full = [i for i, s in enumerate(sets) if len(s)]
-            found["a"] += [ids[i] for i in full]
-            found["b"] += links_in_block([ids[i] for i in full], [labels[i] for i in full], [sets[i] for i in full], [signature(sets[i], seeds) for i in full], matches, percent)
+            ids, labels, parts = ([c[i] for i in full] for c in columns)
+            found["a"] += ids
+            found["b"] += links_in_block(ids, labels, parts, [sets[i] for i in full], [signature(sets[i], seeds) for i in full], matches, percent)
         return pa.table({k: pa.array(v, pa.int64()) for k, v in found.items()})
 
     return blocks.groupBy("task").applyInArrow(work, "a long, b long")
 
 
+def parted(members: DataFrame, most: int) -> DataFrame:
+    """``members`` (id, label, block) with the two parts i, j of their block that a task has, and their own: (0, 0) in blocks of up to ``most``.
+
+    Documents with the commonest label of a large block have the first parts,
+    the others the rest; pairs of two of the first parts are left out, as all
+    of them are connected already.
+    """
+    labels = members.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = labels.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    half, large = most // 2, F.col("n") > most
+    first = F.when(large, F.ceil(F.col("n_main") / half)).otherwise(0).cast("int")
+    rest = F.when(large, F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("n_main")) / half))).otherwise(1).cast("int")
+    sizes = sizes.select("block", "main", first.alias("first"), rest.alias("rest"))
+    own = members.join(sizes.hint("merge"), "block").withColumn("is_main", (F.col("label") == F.col("main")) & (F.col("first") > 0))
+    h = F.xxhash64("id")
+    own = own.withColumn("own", F.when(F.col("is_main"), F.pmod(h, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(h, F.col("rest"))).cast("int"))
+    others = F.sequence(F.when(F.col("is_main"), F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)
+    both = own.withColumn("other", F.explode(others))
+    return both.select("id", "label", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
+
 def dealt(rows: DataFrame, *key: str) -> DataFrame:
     """``rows`` with the number of a task, by key; about TASK_DOCS rows a task."""
     tasks = max(1, -(-rows.count() // TASK_DOCS))
@@ -267,17 +295,17 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, coor
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     rows = scratch.write(profiles(docs, width, coordinates), "profiles")
     # equal sets are one document, known by its smallest id
-    classes = scratch.write(rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("lists").alias("lists")), "classes")
+    classes = scratch.write(rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("lists").alias("lists")), "classes", slim=True)
     posted = classes.select("rep", F.explode("lists").alias("list"))
     lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    shared = scratch.write(posted.join(lengths.hint("merge"), "list"), "shared")
+    shared = scratch.write(posted.join(lengths.hint("merge"), "list"), "shared", slim=True)
     # lists of one document are the shortest: of the first lists, so many fewer are left
     order = Window.partitionBy("rep").orderBy("length", "list")
     whole = Window.partitionBy("rep")
     prefix = shared.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - matches + 1)
-    prefix = scratch.write(prefix.select("rep", "list"), "prefix")
+    prefix = scratch.write(prefix.select("rep", "list"), "prefix", slim=True)
     heads = prefix.groupBy("list").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = scratch.write(prefix.join(heads.hint("merge"), "list").select("rep", "list", "head"), "met")
+    met = scratch.write(prefix.join(heads.hint("merge"), "list").select("rep", "list", "head"), "met", slim=True)
     scratch.drop("shared", "prefix")
     free_shuffles(spark)
     wanted = met.select(F.col("rep").alias("id")).distinct()
@@ -289,25 +317,25 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, coor
     salts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TASK_DOCS).cast("int").alias("salts"))
     pairs = pairs.join(salts.hint("merge"), "hub").select("hub", "id", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
     hubs = salts.select("hub", F.col("hub").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    both = dealt(scratch.write(pairs.unionByName(hubs), "pairs"), "hub", "salt")
-    linked = scratch.write(confirm_hubs(both.join(texts.hint("merge"), "id"), width, percent), "hub_links")
-    labels = scratch.write(components(linked, scratch, "hub_stars"), "labels")
+    both = dealt(scratch.write(pairs.unionByName(hubs), "pairs", slim=True), "hub", "salt")
+    linked = scratch.write(confirm_hubs(both.join(texts.hint("merge"), "id"), width, percent), "hub_links", slim=True)
+    labels = scratch.write(components(linked, scratch, "hub_stars"), "labels", slim=True)
 
     labelled = met.select("rep", "list").join(labels.select(F.col("node").alias("rep"), F.col("component")).hint("merge"), "rep", "left")
-    labelled = scratch.write(labelled.select("rep", "list", F.coalesce("component", "rep").alias("label")), "labelled")
+    labelled = scratch.write(labelled.select("rep", "list", F.coalesce("component", "rep").alias("label")), "labelled", slim=True)
     opened = labelled.groupBy("list").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    opened = scratch.write(labelled.join(opened.hint("merge"), "list").select("rep", "label", "least"), "opened")
+    opened = scratch.write(labelled.join(opened.hint("merge"), "list").select("rep", "label", "least"), "opened", slim=True)
     blocks = components(opened.select(F.col("label").alias("a"), F.col("least").alias("b")), scratch, "block_stars")
     members = opened.select(F.col("rep").alias("id"), "label").distinct()
     members = members.join(blocks.select(F.col("node").alias("label"), F.col("component").alias("block")).hint("merge"), "label")
-    members = dealt(scratch.write(members, "blocks"), "block")
+    members = dealt(scratch.write(parted(scratch.write(members, "blocks", slim=True), TASK_DOCS), "parts", slim=True), "block", "i", "j")
     more = confirm_blocks(members.join(texts.hint("merge"), "id"), width, coordinates, matches, percent)
     linked = components(linked.union(more), scratch, "stars").select(F.col("node").alias("id"), "component")
-    linked = scratch.write(linked, "linked")
+    linked = scratch.write(linked, "linked", slim=True)
     scratch.drop("texts", "met", "pairs", "labelled", "opened")
 
     reps = classes.select("s1", "s2", "rep").join(linked.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
-    reps = scratch.write(reps.select("s1", "s2", F.coalesce("component", "rep").alias("component")), "reps")
+    reps = scratch.write(reps.select("s1", "s2", F.coalesce("component", "rep").alias("component")), "reps", slim=True)
     out = rows.select("id", "n_shingles", "s1", "s2").where("n_shingles > 0").join(reps.hint("merge"), ["s1", "s2"]).select("id", "n_shingles", "component")
     out = out.union(rows.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component")))
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

@@ -95,7 +95,7 @@ def mix(docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS
     tagged = docs.select(F.struct("*").alias("row"), "doc_id", domain_of(source, domains).alias("domain"), F.coalesce("lang", F.lit("")).alias("mix_lang"), source.alias("mix_source"), n_tokens(F.col("text")).alias("n_tokens"))
     slim = scratch.write(tagged.drop("row"), "slim")
     leaves = slim.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
-    plan = scratch.write(leaf_plan(leaves, budget, max_epochs, weights), "plan")
+    plan = scratch.write(leaf_plan(leaves, budget, max_epochs, weights), "plan", slim=True)
     hint = F.broadcast if plan.count() <= BROADCAST_LEAVES else (lambda x: x)
 
     key = order_key(seed, F.col("epochs"), F.col("doc_id"))
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS
     upto = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
     parts = parts.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
     ends = parts.groupBy(*LEAF).agg(F.min_by(F.struct("part", (F.col("upto") - F.col("n")).alias("start")), "part").alias("end"))
-    plan = scratch.write(plan.join(ends, LEAF, "left").select(*LEAF, "leaf_budget", "epochs", "rest", "end.part", "end.start"), "ends")
+    plan = scratch.write(plan.join(ends, LEAF, "left").select(*LEAF, "leaf_budget", "epochs", "rest", "end.part", "end.start"), "ends", slim=True)
 
     dealt = tagged.join(hint(plan), LEAF).withColumn("key", key).withColumn("own", part)
     clear = dealt.where(~F.col("own").eqNullSafe(F.col("part")))
