@@ -19,7 +19,7 @@ from .common import SPACE, Scratch, let, words
 #: Buckets of hashed n-grams; the model is as many numbers, whatever the corpus.
 BUCKETS = 10_000
 #: Mean log ratio an n-gram below which a document is not like the trusted ones.
-THRESHOLD = -0.03
+THRESHOLD = -0.04
 #: Trusted documents are a sample of at most so many documents labelled good, those with the smallest hash of their id.
 TRUSTED = 4_000
 #: N-grams a bucket added to both counts.
