@@ -203,3 +203,71 @@ def test_reports(spark, tmp_path):
     assert '"total_files" : 1' in nested and '"project_name" : "proj"' in nested
     assert report.info()["status"] == "running" and report.health()["status"] == "healthy"
     assert report.import_statements(c.imports).select(F.col("statement")).first().statement == "import os as o"
+
+
+def test_links_are_listed_but_not_followed_by_the_walk_for_roots(spark, tmp_path):
+    import json
+
+    from treelens import sources
+
+    root, other = tree(tmp_path / "p", {"a/x.py": ""}), tree(tmp_path / "o", {"y.py": ""})
+    os.symlink(other, f"{root}/src")
+    os.symlink(other, f"{root}/a/tests")
+    sources.register(spark)
+    rows = spark.read.format("project_tree").options(paths=json.dumps([root]), ruleset="roots").load()
+    assert {(r.path, r.is_dir) for r in rows.collect()} == {("", True), ("a", True), ("a/x.py", False), ("src", True), ("a/tests", True)}
+
+
+def test_settings(tmp_path, monkeypatch):
+    from treelens.config import Settings
+
+    (tmp_path / ".env").write_text("# c\nAPP_NAME='x'\nDEBUG=true\n")
+    monkeypatch.setenv("VERSION", "9")
+    assert Settings.load(str(tmp_path / ".env")) == Settings("x", "9", True)
+    assert Settings.load(None).app_name == "treelens"
+
+
+def test_persisted_catalog_answers_the_same(spark, tmp_path):
+    c = scan(spark, tree(tmp_path / "p", {"src/a.py": "import os\n"}))
+    before = c.dependencies.collect()
+    assert c.persist().dependencies.collect() == before
+    c.unpersist()
+
+
+def reference_roots(base: Path, ignored: set[str]):
+    """Source roots by walking again for each directory, in plain Python."""
+    from treelens import rules
+
+    found = []
+    for d in [base, *(p for p in base.rglob("*") if p.is_dir())]:
+        if set(d.parts) & ignored:
+            continue
+        sources = [f for f in d.rglob("*") if f.is_file() and not set(f.parts) & ignored and f.suffix.lower() in rules.ROOT_LANGUAGE]
+        files, inner = [f.name for f in d.iterdir() if f.is_file()], {x.name.lower() for x in d.iterdir() if x.is_dir()}
+        score = 30 * (d.name.lower() in rules.COMMON_SOURCE_NAMES) + 40 * len(set(files) & set(rules.PROJECT_FILES)) + min(30, 3 * len(sources)) + min(20, 5 * len(inner & set(rules.IMPORTANT_SUBDIRS)))
+        if score >= 30:
+            found.append((-score, len(d.parts), d.as_posix(), d))
+    kept = []
+    for score, _, _, d in sorted(found):
+        if not any(d.is_relative_to(k) for _, k in kept):
+            kept.append((-score, d))
+    return [(s, "" if d == base else d.relative_to(base).as_posix()) for s, d in kept] or [(1, "")]
+
+
+def test_roots_of_random_trees_equal_the_plain_walk(spark, tmp_path):
+    import random
+
+    from treelens import rules
+
+    r, paths = random.Random(4), []
+    for i in range(12):
+        names = ["src", "app", "models", "views", "x", "y", "build", "Core", "tests", "node_modules"]
+        files = ["a.py", "b.ts", "c.cpp", "package.json", "go.mod", "README.md", "Makefile", "d.PY"]
+        content = {"/".join([*r.choices(names, k=r.randint(0, 4)), r.choice(files)]): "" for _ in range(r.randint(0, 40))}
+        content = {k: v for k, v in content.items() if not any(o != k and o.startswith(k + "/") for o in content)}
+        paths.append(tree(tmp_path / f"t{i}" / r.choice(["proj", "src"]), content))
+    c = scan(spark, paths)
+    got = {}
+    for row in c.source_roots.join(c.projects, "project_id").orderBy("rank").collect():
+        got.setdefault(row.root_path, []).append((row.score, row.path))
+    assert got == {p: reference_roots(Path(p), set(rules.ROOT_IGNORE_DIRS)) for p in paths}

@@ -7,14 +7,14 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..operators import pyast, resolve
 from .scan import Catalog
 
-APPLICATION, VERSION = "treelens", "0.1.0"
 
-
-def info() -> dict:
-    return {"application": APPLICATION, "version": VERSION, "status": "running"}
+def info(settings: Settings | None = None) -> dict:
+    settings = settings or Settings.load()
+    return {"application": settings.app_name, "version": settings.version, "status": "running"}
 
 
 def health() -> dict:

@@ -32,6 +32,16 @@ class Catalog:
     def _read(self, name: str, **options) -> DataFrame:
         return self.spark.read.format(name).options(paths=json.dumps(self.paths), **options).load()
 
+    def persist(self) -> Catalog:
+        """Keeps what several tables are made of, for a catalog that is asked more than once."""
+        for name in ("listed", "parsed", "source_roots"):
+            getattr(self, name).persist()
+        return self
+
+    def unpersist(self) -> None:
+        for name in ("listed", "parsed", "source_roots"):
+            getattr(self, name).unpersist()
+
     @cached_property
     def projects(self) -> DataFrame:
         """(project_id, project_name, root_path)."""

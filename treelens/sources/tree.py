@@ -14,6 +14,10 @@ from ..rules import ROOT_IGNORE_DIRS, SCAN_IGNORE_DIRS
 from ..schemas import LISTING
 
 
+#: What a walk does with an entry: lists a file, lists a directory only, or goes into it.
+FILE, STAY, DESCEND = "file", "stay", "descend"
+
+
 def resolve_root(path: str) -> tuple[str, str]:
     """The absolute path of a project, checked, and its id."""
     root = Path(path)
@@ -41,7 +45,8 @@ class ProjectTree(DataSource):
     """Options: path (one), or paths (a JSON list); ruleset scan (default) or roots.
 
     scan leaves out ignored directories and follows links to directories; roots
-    leaves out the other set and doesn't follow links.  Each directory under a
+    leaves out the other set and lists links to directories without following
+    them.  Each directory under a
     root is a partition.  What can't be read is left out; a link back to a
     directory above it isn't followed.
     """
@@ -68,26 +73,26 @@ class TreeReader(DataSourceReader):
         found = []
         for root, project_id in self.roots:
             found.append(Subtree(root, project_id, "", True))
-            found += [Subtree(root, project_id, name, False) for name, full, is_dir in self._entries(root) if is_dir]
+            found += [Subtree(root, project_id, name, False) for name, _, kind in self._entries(root) if kind == DESCEND]
         return found
 
     def _entries(self, directory: str):
-        """(name, path, is_dir) of what is listed in a directory."""
+        """(name, path, kind) of what is listed in a directory."""
         try:
             with os.scandir(directory) as entries:
                 for e in entries:
-                    is_dir = self._is(e.is_dir, True)
-                    if is_dir and e.name not in self.ignored and (self.follow or not e.is_symlink()):
-                        yield e.name, e.path, True
-                    elif not is_dir and self._is(e.is_file, True):
-                        yield e.name, e.path, False
+                    if self._is(e.is_dir):
+                        if e.name not in self.ignored:
+                            yield e.name, e.path, DESCEND if self.follow or not e.is_symlink() else STAY
+                    elif self._is(e.is_file):
+                        yield e.name, e.path, FILE
         except PermissionError:
             return
 
     @staticmethod
-    def _is(test, follow: bool) -> bool:
+    def _is(test) -> bool:
         try:
-            return test(follow_symlinks=follow)
+            return test()
         except OSError:
             return False
 
@@ -104,18 +109,18 @@ class TreeReader(DataSourceReader):
         top = os.path.join(partition.root, partition.relative) if partition.relative else partition.root
         if not partition.relative:
             yield self._row(partition, top, "", True)
-            for name, path, is_dir in self._entries(top):
-                if not is_dir:
-                    yield self._row(partition, path, name, False)
+            for name, path, kind in self._entries(top):
+                if kind != DESCEND:
+                    yield self._row(partition, path, name, kind == STAY)
             return
         yield self._row(partition, top, partition.relative, True)
         stack = [(top, partition.relative, {os.path.realpath(partition.root), os.path.realpath(top)})]
         while stack:
             directory, relative, above = stack.pop()
-            for name, path, is_dir in self._entries(directory):
+            for name, path, kind in self._entries(directory):
                 own = f"{relative}/{name}"
-                if not is_dir:
-                    yield self._row(partition, path, own, False)
+                if kind != DESCEND:
+                    yield self._row(partition, path, own, kind == STAY)
                     continue
                 real = os.path.realpath(path)
                 if real in above:
