@@ -35,10 +35,11 @@ def config_files(files: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
 
 def owning_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
     """``files`` with ``root``: of the source roots above a file the first by rank, not the deepest."""
-    above = files.select("project_id", "path", F.explode(paths.ancestors(F.col("parent"))).alias("root"))
+    # by directory: there are fewer of them, and all files of one have the same owner
+    above = files.select("project_id", "parent").distinct().select("project_id", "parent", F.explode(paths.ancestors(F.col("parent"))).alias("root"))
     owner = above.join(roots.select("project_id", F.col("path").alias("root"), "rank"), ["project_id", "root"])
-    owner = owner.groupBy("project_id", "path").agg(F.min_by("root", "rank").alias("root"))
-    return files.join(owner, ["project_id", "path"])
+    owner = owner.groupBy("project_id", "parent").agg(F.min_by("root", "rank").alias("root"))
+    return files.join(owner, ["project_id", "parent"])
 
 
 def module_index(files: DataFrame, roots: DataFrame) -> DataFrame:
