@@ -38,7 +38,8 @@ class LineRuns:
 
     def __init__(self, scratch: Scratch, fan_in: int = 2):
         self.scratch, self.spark, self.fan_in = scratch, scratch.spark, fan_in
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # three a core, as for other slim tables: many tiny files cost more than they spread
+        self.buckets = max(1, 3 * self.spark.sparkContext.defaultParallelism)
         self.levels: list[list[str]] = []
 
     def tables(self) -> list[str]:
@@ -59,6 +60,7 @@ class LineRuns:
         """Adds a batch of (doc_id, h1, h2), all of whose ids are below those of the batches before, or null."""
         held = batch.select(*KEY, "doc_id").distinct()
         rows = held.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
+        rows = rows.repartition(self.buckets, *KEY)  # one row a key by now, dealt as the runs are
         known = []
         for i, run in enumerate(self.tables()):
             known.append(F.col(f"in_{i}").isNotNull())
@@ -102,7 +104,7 @@ def without(lines: Column, drops: Column) -> Column:
     return F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(lines, s + 1, e - s)))
 
 
-def line_dedup(docs: DataFrame, min_length: int = 20, min_docs: int = 3, batches: int = 4, fan_in: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, min_length: int = 20, min_docs: int = 3, batches: int = 4, fan_in: int = 3) -> DataFrame:
     """``docs`` with ``text`` cut to its kept lines, and n_lines, n_dropped (long).
 
     Other columns pass through; input columns n_lines and n_dropped are
@@ -129,7 +131,7 @@ def line_dedup(docs: DataFrame, min_length: int = 20, min_docs: int = 3, batches
     # always by shuffle: the lists grow with the corpus, and a written table looks smaller than it is
     drops = rows.join(common.hint("merge"), KEY).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
     drops = drops.groupBy("doc_id", "tag").agg(F.array_sort(F.array_distinct(F.collect_list("pos"))).alias("drops"))
-    drops = scratch.write(drops.select(F.col("doc_id").alias("drop_id"), F.col("tag").alias("drop_tag"), F.col("drops").alias("drop_lines")), "drops")
+    drops = scratch.write(drops.select(F.col("doc_id").alias("drop_id"), F.col("tag").alias("drop_tag"), F.col("drops").alias("drop_lines")), "drops", slim=True)
     scratch.drop("lines", "common")
 
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("tag"))
