@@ -75,7 +75,7 @@ def exact_dedup(docs: DataFrame, max_blocks: int = 4096) -> DataFrame:
     tested = prints.withColumn("block", block(blocks)).join(F.broadcast(seen), "block", "left")
     tested = tested.withColumn("maybe", is_set(F.col("bitmap"), positions()[0]) & is_set(F.col("bitmap"), positions()[1]))
     maybe = tested.where("maybe").select("doc_id", "text_sha256")
-    groups = scratch.write(maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    groups = scratch.write(maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups", slim=True)
     # both sides of the join are plain shuffles, so that Spark may split the rows of a large group
     settled = maybe.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
     single = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")

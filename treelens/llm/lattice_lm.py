@@ -144,7 +144,7 @@ def lm_score(docs: DataFrame, model_path: str, chunk_bytes: int = CHUNK_BYTES) -
 
     asked = dealt.groupBy("chunk").applyInArrow(ask, "part int, chunk int, words binary, counts binary")
     answers = asked.groupBy("part").applyInArrow(answer, "chunk int, words binary, counts binary, logs binary, part_tokens long, part_distinct long")
-    answers = scratch.write(answers, "answers")
+    answers = scratch.write(answers, "answers", slim=True)
     del asked
     free_shuffles(spark)
     train, distinct = answers.agg(F.sum("part_tokens"), F.sum("part_distinct")).first()

@@ -396,14 +396,14 @@ def passage_dedup(docs: DataFrame, part_bytes: int = PART_BYTES, open_limit: int
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = _prime(max(2, -(-size // part_bytes)))
+    parts = _prime(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes)))
     dealt = scratch.write(deal_spans(docs, parts), "dealt")
-    settled = scratch.write(settle_spans(dealt.where(F.col("kind") == SPANS), parts, open_limit), "settled")
-    early = scratch.write(dealt.where(F.col("kind") == REPEATS), "early")
+    settled = scratch.write(settle_spans(dealt.where(F.col("kind") == SPANS), parts, open_limit), "settled", slim=True)
+    early = scratch.write(dealt.where(F.col("kind") == REPEATS), "early", slim=True)
     scratch.drop("dealt")
     free_shuffles(spark)
     opened = settled.where(F.col("kind") == SPANS)
-    strings = scratch.write(settle_strings(fetch(docs, opened, parts), parts), "strings")
+    strings = scratch.write(settle_strings(fetch(docs, opened, parts), parts), "strings", slim=True)
     free_shuffles(spark)
     repeats = early.unionByName(settled.where(F.col("kind") == REPEATS)).unionByName(strings)
     fields = [T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
