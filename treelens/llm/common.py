@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     machine is made and set for the session's checkpoints.
     """
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(base)
@@ -58,9 +58,9 @@ class Scratch:
         self.spark, self.base = spark, shared_dir(spark)
 
     def write(self, df: DataFrame, name: str, slim: bool = False) -> DataFrame:
-        """The table, read back.  Tables of slim rows are written by three tasks a core, so that there are no thousands of tiny files."""
+        """The table, read back; one of slim rows goes into fewer files."""
         if slim:
-            df = df.coalesce(max(1, 3 * self.spark.sparkContext.defaultParallelism))
+            df = df.coalesce(few(self.spark))
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
@@ -71,6 +71,11 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def few(spark: SparkSession) -> int:
+    """Tasks for tables of slim rows: a quarter of the shuffle partitions, which grow with the data, but three a core at least."""
+    return max(1, 3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of plans that no one refers to any more."""
     gc.collect()

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, ascii_lower
+from .common import SPACE, Scratch, ascii_lower, few
 
 KEY = ["h1", "h2"]
 
@@ -38,8 +38,7 @@ class LineRuns:
 
     def __init__(self, scratch: Scratch, fan_in: int = 2):
         self.scratch, self.spark, self.fan_in = scratch, scratch.spark, fan_in
-        # three a core, as for other slim tables: many tiny files cost more than they spread
-        self.buckets = max(1, 3 * self.spark.sparkContext.defaultParallelism)
+        self.buckets = few(self.spark)
         self.levels: list[list[str]] = []
 
     def tables(self) -> list[str]:

@@ -255,7 +255,7 @@ def confirm_blocks(blocks: DataFrame, width: int, coordinates: int, matches: int
     return blocks.groupBy("task").applyInArrow(work, "a long, b long")
 
 
-def parted(members: DataFrame, most: int) -> DataFrame:
+def parted(members: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     """``members`` (id, label, block) with the two parts i, j of their block that a task has, and their own: (0, 0) in blocks of up to ``most``.
 
     Documents with the commonest label of a large block have the first parts,
@@ -267,7 +267,8 @@ def parted(members: DataFrame, most: int) -> DataFrame:
     half, large = most // 2, F.col("n") > most
     first = F.when(large, F.ceil(F.col("n_main") / half)).otherwise(0).cast("int")
     rest = F.when(large, F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("n_main")) / half))).otherwise(1).cast("int")
-    sizes = sizes.select("block", "main", first.alias("first"), rest.alias("rest"))
+    # written, so that Spark may divide the documents of a large block in the join
+    sizes = scratch.write(sizes.select("block", "main", first.alias("first"), rest.alias("rest")), "sizes", slim=True)
     own = members.join(sizes.hint("merge"), "block").withColumn("is_main", (F.col("label") == F.col("main")) & (F.col("first") > 0))
     h = F.xxhash64("id")
     own = own.withColumn("own", F.when(F.col("is_main"), F.pmod(h, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(h, F.col("rest"))).cast("int"))
@@ -328,7 +329,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, coor
     blocks = components(opened.select(F.col("label").alias("a"), F.col("least").alias("b")), scratch, "block_stars")
     members = opened.select(F.col("rep").alias("id"), "label").distinct()
     members = members.join(blocks.select(F.col("node").alias("label"), F.col("component").alias("block")).hint("merge"), "label")
-    members = dealt(scratch.write(parted(scratch.write(members, "blocks", slim=True), TASK_DOCS), "parts", slim=True), "block", "i", "j")
+    members = dealt(scratch.write(parted(scratch.write(members, "blocks", slim=True), TASK_DOCS, scratch), "parts", slim=True), "block", "i", "j")
     more = confirm_blocks(members.join(texts.hint("merge"), "id"), width, coordinates, matches, percent)
     linked = components(linked.union(more), scratch, "stars").select(F.col("node").alias("id"), "component")
     linked = scratch.write(linked, "linked", slim=True)
