@@ -402,3 +402,17 @@ def test_near_dedup_divides_large_blocks(spark, docs, monkeypatch):
     wanted = brute_near(rows)
     assert {i: (x.n_shingles, x.component_id, x.kept) for i, x in got.items()} == wanted
     assert 3 < len({w[1] for w in wanted.values()}) < 100
+
+
+def test_secrets_in_common_forms(docs):
+    key = "Zx9fQ2pLm4Ty7Kd0aPqW3rTnB8vHs1c"
+    forms = [
+        "Authorization: Bearer @", "Authorization: Basic @", "SECRET_KEY = '@'", "secret_key: @", "encryption_key=@", '"private_key_id": "@"', 'password := "@"', "TOKEN_VALUE=@", "pwd=@",
+        "<password>@</password>", "bearer @", "token @", "the password for it is now @", "privateKey => '@'", '<add key="apiKey" value="@"/>', "curl -H 'X-Auth: @'", "client_secret_2 -> @", "secret token=@", "passwd\t@",
+        "storage key @", "DB_PASSWORD_PROD=@", "session_key[0] = @",
+    ]
+    clean = ["the secret of photosynthesis and internationalisation", "a token\nof " + key, "token getAccessTokenFromStore", "monkey " + key, "secret " + "x " * 40 + key, "the keyboard_of " + key]
+    got = by_id(secrets.secret_scan(docs(list(enumerate([f.replace("@", key) for f in forms] + clean)))))
+    for i, form in enumerate(forms):
+        assert f"novel:{form.index('@')}:{form.index('@') + len(key)}" in got[i].spans.split(","), form
+    assert [got[len(forms) + i].spans for i in range(len(clean))] == [""] * len(clean)

@@ -1,10 +1,11 @@
 """Secret scans: three patterns, and strings in a sensitive context that zstandard can't predict.
 
-Novelty: a candidate is a long token that follows a sensitive word.  It is
-compressed by a compressor primed with a dictionary of common identifiers and
-the text before it; what it takes beyond an empty frame, per character, is its
-novelty.  Names and words that the surrounding code or the dictionary has
-add next to nothing; random keys add almost all of their characters.
+Novelty: a candidate is a long token on the line of a sensitive word, a short
+distance behind it.  It is compressed by a compressor primed with a dictionary
+of common identifiers and the text before it; what it takes beyond an empty
+frame, per character, is its novelty.  Names and words that the surrounding
+code or the dictionary has add next to nothing; random keys add almost all of
+their characters.
 """
 
 from __future__ import annotations
@@ -28,7 +29,23 @@ SENSITIVE = re.compile(
     r"""(?i:password|passwd|passphrase|secret|token|api[_-]?key|private[_-]?key|access[_-]?key|signing[_-]?key|credentials?|authorization|bearer)["']?(?:\x20*(?:[:=]|=>)\x20*|\x20is\x20)["'(]{0,2}([A-Za-z0-9+/_.=~-]{12,})""",
     re.ASCII,
 )
-MORE_STEMS = ("passphrase", "key", "credential", "authorization", "bearer")
+#: A sensitive stem anywhere in a name, and the tails that make it a longer name (_key, _value, Id, s).
+STEM = re.compile(
+    r"""(?:(?i:passw(?:or)?d|passphrase|passcode|pwd|secret|token|credential|authori[sz]ation|authentication|(?<![a-z])auth(?![a-z])|bearer"""
+    r"""|(?:api|access|private|signing|signature|encryption|master|session|account|client|service|shared|storage|license|deploy|ssh|auth|app|host)\x20?key|[a-z0-9][_-]key)(?![a-z]{4})|(?<=[a-z0-9])Key(?![a-z]))"""
+    r"""(?:(?i:s|[_-]?(?:key|value|id|token|secret|string|text|hash|data|base64|b64|hex|name|header|prod|dev|test))(?![a-z])|[0-9]{1,2}(?![A-Za-z0-9]))*+""",
+    re.ASCII,
+)
+MORE_STEMS = ("passphrase", "passcode", "pwd", "key", "credential", "auth", "bearer")
+#: Characters on the line, from the end of a stem's name, in which a long token starts.
+DISTANCE, LONG = 48, 12
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=~-]{12,}", re.ASCII)
+#: The name in name=value, which is one token by its characters.
+NAME = re.compile(r"[_.~=-]*(?:[A-Za-z_][A-Za-z0-9_.-]{0,39}=+)?(?=[A-Za-z0-9+/_.~-])", re.ASCII)
+#: Signs that bind a value to a name, and a scheme at most.
+BOUND = re.compile(r"""[^A-Za-z0-9]*[:=>][^A-Za-z0-9]*(?:(?i:bearer|basic|digest|token|apikey)\x20+)?["'(]*|["'\])]*\x20is\x20["'(]*""", re.ASCII)
+SIGNS = re.compile(r"[+/_.=~-]+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+")
 #: The identifier dictionary that primes the compressor.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey private_key access_key client_id client_secret authorization bearer credentials "
@@ -70,11 +87,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def plain(token: str) -> bool:
+    """Whether a token is words and short numbers: natural words and names are as new to zstandard as keys are."""
+    if len(token) > 200:
+        return False
+    for part in SIGNS.split(token):
+        found = WORDS.findall(part)
+        if any(w.isdigit() for w in found) and (len(found) > 1 or len(part) > 4):
+            return False
+        if any(len(w) >= 24 or len(found) > 1 and len(w) < 3 for w in found):
+            return False
+    return True
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the values bound to a sensitive word, and of long tokens near any sensitive stem before them on the line.
+
+    Where only blanks or other words stand between, a token that is ``plain`` is none.
+    """
+    found = {m.end(1): m.start(1) for m in SENSITIVE.finditer(text)}
+    near: dict[int, int] = {}
+    last = 0  # the end of the last token, which many stems may be in or before
+    for stem in STEM.finditer(text):
+        at = after = stem.end()
+        stop = text.find("\n", after, after + DISTANCE + LONG)
+        while m := TOKEN.search(text, at, after + DISTANCE + LONG if stop < 0 else stop):
+            start = m.start()
+            at = last = last if m.end() <= last else TOKEN.match(text, start).end()
+            start = NAME.match(text, start, at).end() if at - NAME.match(text, start, at).end() >= LONG else start
+            if BOUND.fullmatch(text, after, start) or not plain(text[start:at]):
+                near[at] = max(start, near.get(at, 0))
+    return sorted((start, end) for end, start in (near | found).items())
+
+
 def novel_spans(text: str, novelty: Novelty, threshold: float) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(s in low for s in STEMS + MORE_STEMS):
         return []
-    return [(m.start(1), 3, m.end(1)) for m in SENSITIVE.finditer(text) if novelty.marginal(text, m.start(1), m.end(1)) >= threshold]
+    return [(start, 3, end) for start, end in candidates(text) if novelty.marginal(text, start, end) >= threshold]
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
