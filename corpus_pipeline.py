@@ -13,6 +13,10 @@ from treelens.llm import line_dedup, minhash, mixing, pieces, quality
 from treelens.llm.common import Scratch, table
 from treelens.llm.queries import piece_model
 
+#: Percent of shingles from which documents are near-duplicates here (op7's query has its own 85), and coordinates
+#: that must match: a pair exactly at the threshold is missed with probability 1e-6.
+SIMILAR, SIMILAR_MATCHES = 80, 14
+
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that fail the base rules or are unlike the trusted ones go."""
@@ -28,7 +32,7 @@ def common_lines(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group of near-duplicates stays."""
-    kept = minhash.near_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = minhash.near_dedup(docs, percent=SIMILAR, matches=SIMILAR_MATCHES).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 

@@ -416,3 +416,21 @@ def test_secrets_in_common_forms(docs):
     for i, form in enumerate(forms):
         assert f"novel:{form.index('@')}:{form.index('@') + len(key)}" in got[i].spans.split(","), form
     assert [got[len(forms) + i].spans for i in range(len(clean))] == [""] * len(clean)
+
+
+def test_pipeline_stage_drops_near_duplicates_from_80_percent_on(spark, docs):
+    """Four scattered words of 200 changed: 176 of 216 shingles are shared, 0.815; five: 171 of 221, 0.774."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(200)]
+    changed = lambda sign, places: " ".join(f"{sign}{i}" if i in places else w for i, w in enumerate(base))
+    rows = [(5001, " ".join(base)), (5002, changed("x", (30, 70, 110, 150))), (5003, changed("y", (30, 60, 90, 120, 150))), *((9000 + i, t) for i, t in corpus(60))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := words(lower(t)))}
+    component = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((component[a], component[b]))
+            component = {i: x if c == y else c for i, c in component.items()}
+    wanted = {i for i, c in component.items() if c == i}
+    assert {5001, 5003} <= wanted and 5002 not in wanted
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(rows), None).collect()} == wanted
