@@ -434,3 +434,19 @@ def test_pipeline_stage_drops_near_duplicates_from_80_percent_on(spark, docs):
     wanted = {i for i, c in component.items() if c == i}
     assert {5001, 5003} <= wanted and 5002 not in wanted
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs(rows), None).collect()} == wanted
+
+
+@pytest.mark.parametrize("open_limit", [5_000, 1])
+def test_passages_of_many_texts_without_an_id(docs, open_limit):
+    """Each of 700 texts, two of which have equal 16-bit checksums by all odds, loses its own repeats only."""
+    import random
+
+    r = random.Random(8)
+    line = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    shared = [line(150) for _ in range(40)]
+    texts = list(dict.fromkeys(line(r.randint(0, 120)) + r.choice(shared) + line(r.randint(20, 200)) for _ in range(700)))
+    assert len({zlib.crc32(t.encode()) & 0xFFFF for t in texts}) < len(texts)
+    ordered = sorted(texts, key=lambda t: passages.tag_of(t.encode()))
+    wanted = Counter(brute_passages(list(enumerate(ordered))).values())
+    rows = passages.passage_dedup(docs([(None, t) for t in texts]), 20_000, open_limit).collect()
+    assert Counter((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows) == wanted

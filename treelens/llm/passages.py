@@ -133,7 +133,7 @@ def unpack(blob: bytes, **types):
     return out
 
 
-REPEAT_TYPES = {"doc": "i8", "tag": "u2", "lo": "i4", "count": "u1"}
+REPEAT_TYPES = {"doc": "i8", "tag": "i8", "lo": "i4", "count": "u1"}
 SPAN_TYPES = REPEAT_TYPES | {"place": "u1", "anchor": "u8", "span": "u8"}
 OPEN_TYPES = REPEAT_TYPES | {"place": "u1", "anchor": "u8", "many": "u1"}
 ROWS = "kind int, part int, blob binary"
@@ -172,9 +172,11 @@ def _id(value) -> int:
 
 
 def tag_of(text: bytes) -> int:
-    import zlib
+    """Tells texts of one id apart: a 64-bit hash, signed."""
+    import xxhash
 
-    return zlib.crc32(text) & 0xFFFF
+    h = xxhash.xxh3_64_intdigest(text)
+    return h - (h >> 63 << 64)
 
 
 def deal_spans(docs: DataFrame, parts: int) -> DataFrame:
@@ -186,7 +188,7 @@ def deal_spans(docs: DataFrame, parts: int) -> DataFrame:
         sizes = np.array([len(b) for _, b, _, _ in pending])
         ends = np.cumsum(sizes)
         text, lo, count, place, anchor, span = spans.of(np.frombuffer(b"".join(b for _, b, _, _ in pending), np.uint8), ends - sizes, ends)
-        ids, tags, offsets = (np.array([p[i] for p in pending], t) for i, t in ((0, np.int64), (2, np.uint16), (3, np.int64)))
+        ids, tags, offsets = (np.array([p[i] for p in pending], t) for i, t in ((0, np.int64), (2, np.int64), (3, np.int64)))
         c = {"doc": ids[text], "tag": tags[text], "lo": (lo + offsets[text]).astype("i4"), "count": count.astype("u1"), "place": place.astype("u1"), "anchor": anchor, "span": span}
         if not len(lo):
             return
@@ -246,7 +248,7 @@ def settle_spans(spans: DataFrame, parts: int, open_limit: int) -> DataFrame:
     return spans.groupBy("part").applyInArrow(work, ROWS)
 
 
-CONTEXTS = "part int, anchor long, doc long, tag int, lo int, place int, context binary"
+CONTEXTS = "part int, anchor long, doc long, tag long, lo int, place int, context binary"
 
 
 def fetch(docs: DataFrame, opened: DataFrame, parts: int) -> DataFrame:
@@ -290,7 +292,7 @@ def fetch(docs: DataFrame, opened: DataFrame, parts: int) -> DataFrame:
             add(own, own, doc, tag, at, 0, texts[doc, tag][at : at + LENGTH])
         for doc, tag, at in again:
             add(doc, 0, doc, tag, at, 0, b"")
-        types = {"part": pa.int32(), "anchor": pa.int64(), "doc": pa.int64(), "tag": pa.int32(), "lo": pa.int32(), "place": pa.int32(), "context": pa.binary()}
+        types = {"part": pa.int32(), "anchor": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "lo": pa.int32(), "place": pa.int32(), "context": pa.binary()}
         return pa.table({k: pa.array(out[k], t) for k, t in types.items()})
 
     return _by_doc(docs, parts).cogroup(opened.groupBy("part")).applyInArrow(work, CONTEXTS)
@@ -360,7 +362,7 @@ def settle_strings(contexts: DataFrame, parts: int) -> DataFrame:
         out = defaultdict(list)
         if found:
             doc, tag, lo, count = (np.array(v) for v in zip(*found, strict=True))
-            columns = {"doc": doc.astype("i8"), "tag": tag.astype("u2"), "lo": lo.astype("i4"), "count": count.astype("u1")}
+            columns = {"doc": doc.astype("i8"), "tag": tag.astype("i8"), "lo": lo.astype("i4"), "count": count.astype("u1")}
             _rows(REPEATS, columns["doc"] % parts, columns, out)
         return pa.table(_batch(out))
 
