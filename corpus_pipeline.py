@@ -31,9 +31,12 @@ def common_lines(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays."""
-    kept = minhash.near_dedup(docs, percent=SIMILAR, matches=SIMILAR_MATCHES).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One document of each group of near-duplicates stays; of rows without an id and with one text, one row."""
+    kept = minhash.near_dedup(docs, percent=SIMILAR, matches=SIMILAR_MATCHES, with_key=True).where("kept")
+    kept = kept.select(F.col("key").alias("kept_key"), F.col("doc_id").isNull().alias("nameless")).distinct()
+    alone = F.col("doc_id").isNotNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]")
+    rows = docs.where(alone).unionByName(docs.where(~alone).dropDuplicates(["text"]))
+    return rows.join(kept, (minhash.key_of() == F.col("kept_key")) & (F.col("doc_id").isNull() == F.col("nameless")), "left_semi")
 
 
 def mixed(spark, docs, sf_dir):

@@ -450,3 +450,19 @@ def test_passages_of_many_texts_without_an_id(docs, open_limit):
     wanted = Counter(brute_passages(list(enumerate(ordered))).values())
     rows = passages.passage_dedup(docs([(None, t) for t in texts]), 20_000, open_limit).collect()
     assert Counter((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows) == wanted
+
+
+def test_near_dedup_of_rows_without_an_id(spark, docs):
+    """Each is a document of its own: it neither goes with another one nor joins two that it is unlike."""
+    import corpus_pipeline
+
+    text = lambda sign, n=60: " ".join(f"{sign}{i}" for i in range(n))
+    big = 2**63 - 1
+    rows = [(1, text("a")), (2, text("b")), (None, text("a")), (None, text("b", 61)), (None, text("c")), (None, text("c").upper()), (None, text("d")), (None, text("d")), (big, text("e")), (None, text("e", 61)), (3, text("f"))]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_dedup(docs(rows)).collect())
+    assert got == Counter({
+        (1, 56, 1, True): 1, (2, 56, 2, True): 1, (None, 56, 1, False): 1, (None, 57, 2, False): 1, (None, 56, None, True): 3, (None, 56, None, False): 1,
+        (big, 56, big, True): 1, (None, 57, big, False): 1, (3, 56, 3, True): 1,
+    })
+    stayed = [(r.doc_id, r.text.lower()) for r in corpus_pipeline.near_duplicates(spark, docs(rows), None).collect()]
+    assert Counter(stayed) == Counter([(1, text("a")), (2, text("b")), (None, text("c")), (None, text("d")), (big, text("e")), (3, text("f"))])

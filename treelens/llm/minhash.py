@@ -33,8 +33,8 @@ from .components import components
 COORDINATES, MATCHES, WIDTH, PERCENT = 32, 16, 5, 85
 #: Documents of a task that confirms pairs, about; those of one hub, and of one block, are divided beyond.
 TASK_DOCS = 400
-#: Stands for a null doc_id, which is thus never the smallest.
-NO_ID = 2**63 - 1
+#: Keys of texts without a doc_id start here.
+NO_ID = 2**62
 #: Words whose hashes a worker keeps; words hashed at once.
 MEMORY, AT_ONCE = 200_000, 400_000
 
@@ -123,8 +123,13 @@ def postings(sig):
         return _mixed(sig + np.arange(1, len(sig) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).view(np.int64)
 
 
+def key_of():
+    """What a row is known by: its doc_id, or a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(NO_ID - 1).bitwiseOR(F.lit(NO_ID)))
+
+
 def profiles(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
-    """(id, n_shingles, s1, s2, lists): the set's hash in two halves, and its posting lists."""
+    """(id, named, n_shingles, s1, s2, lists): the set's hash in two halves, and its posting lists."""
 
     def work(batches):
         import numpy as np
@@ -132,16 +137,16 @@ def profiles(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
 
         hashes, seeds = WordHashes(), _seeds(coordinates)
         for batch in batches:
-            ids, n, halves, lists = batch.column(0), [], [], []
-            for s in shingle_sets((v.as_py() for v in batch.column(1)), hashes, width):
+            ids, named, n, halves, lists = batch.column(0), batch.column(1), [], [], []
+            for s in shingle_sets((v.as_py() for v in batch.column(2)), hashes, width):
                 n.append(len(s))
                 halves.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
                 lists.append(postings(signature(s, seeds)) if len(s) else None)
             halves = np.array(halves, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(lists, pa.list_(pa.int64()))], names=["id", "n_shingles", "s1", "s2", "lists"])
+            yield pa.RecordBatch.from_arrays([ids, named, pa.array(n, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(lists, pa.list_(pa.int64()))], names=["id", "named", "n_shingles", "s1", "s2", "lists"])
 
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    return ids.mapInArrow(work, "id long, n_shingles long, s1 long, s2 long, lists array<long>")
+    ids = docs.select(key_of().alias("id"), F.col("doc_id").isNotNull().alias("named"), "text")
+    return ids.mapInArrow(work, "id long, named boolean, n_shingles long, s1 long, s2 long, lists array<long>")
 
 
 def alike(a, b, percent: int) -> bool:
@@ -283,20 +288,21 @@ def dealt(rows: DataFrame, *key: str) -> DataFrame:
     return rows.withColumn("task", F.pmod(F.xxhash64(*key), F.lit(tasks)).cast("int"))
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text; other columns are ignored).
+def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, coordinates: int = COORDINATES, matches: int = MATCHES, with_key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text; other columns are ignored), and key_of() as key if asked for.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their
     sets of ``width``-word shingles; a text of fewer words is one shingle, and
     one without words (or null) has none and is linked with nothing.
     component_id is the smallest doc_id that links lead to.  A null doc_id is
-    never the smallest; where all are null, component_id is null.  Rows that
-    repeat a doc_id are one document with several texts.
+    never the smallest; where all are null, component_id is null, and the text
+    of the smallest hash is kept.  Rows that repeat a doc_id are one document
+    with several texts; rows without one are one document if their texts are equal.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     rows = scratch.write(profiles(docs, width, coordinates), "profiles")
     # equal sets are one document, known by its smallest id
-    classes = scratch.write(rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("lists").alias("lists")), "classes", slim=True)
+    classes = scratch.write(rows.where("n_shingles > 0").groupBy("s1", "s2").agg(least_of("id", "named").alias("rep"), F.max("named").alias("named"), F.first("lists").alias("lists")), "classes", slim=True)
     posted = classes.select("rep", F.explode("lists").alias("list"))
     lengths = posted.groupBy("list").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     shared = scratch.write(posted.join(lengths.hint("merge"), "list"), "shared", slim=True)
@@ -310,7 +316,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, coor
     scratch.drop("shared", "prefix")
     free_shuffles(spark)
     wanted = met.select(F.col("rep").alias("id")).distinct()
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    own = docs.select(key_of().alias("id"), "text")
     texts = scratch.write(own.join(wanted.hint("merge"), "id"), "texts")
 
     # documents of one hub are divided by salt; the hub's text goes to each part
@@ -335,9 +341,22 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, coor
     linked = scratch.write(linked, "linked", slim=True)
     scratch.drop("texts", "met", "pairs", "labelled", "opened")
 
-    reps = classes.select("s1", "s2", "rep").join(linked.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
-    reps = scratch.write(reps.select("s1", "s2", F.coalesce("component", "rep").alias("component")), "reps", slim=True)
-    out = rows.select("id", "n_shingles", "s1", "s2").where("n_shingles > 0").join(reps.hint("merge"), ["s1", "s2"]).select("id", "n_shingles", "component")
-    out = out.union(rows.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component")))
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(known("id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    if rows.where("not named").head(1):
+        # keys are among the ids; of each component the smallest id stands for it, and a key only where there is none
+        joined = classes.select(F.col("rep").alias("id"), "named").join(linked.hint("merge"), "id")
+        names = joined.groupBy("component").agg(least_of("id", "named").alias("name"), F.max("named").alias("known"))
+        linked = scratch.write(joined.join(names.hint("merge"), "component").select("id", F.col("name").alias("component"), "known"), "names", slim=True)
+    else:
+        linked = linked.withColumn("known", F.lit(True))
+    reps = classes.select("s1", "s2", "rep", "named").join(linked.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
+    reps = scratch.write(reps.select("s1", "s2", F.coalesce("component", "rep").alias("component"), F.coalesce("known", "named").alias("known")), "reps", slim=True)
+    out = rows.select("id", "named", "n_shingles", "s1", "s2").where("n_shingles > 0").join(reps.hint("merge"), ["s1", "s2"]).select("id", "named", "n_shingles", "component", "known")
+    out = out.union(rows.where("n_shingles = 0").select("id", "named", "n_shingles", F.col("id").alias("component"), F.col("named").alias("known")))
+    kept = (F.col("id") == F.col("component")) & (F.col("named") == F.col("known"))
+    out = out.select(F.when(F.col("named"), F.col("id")).alias("doc_id"), "n_shingles", F.when(F.col("known"), F.col("component")).alias("component_id"), kept.alias("kept"), F.col("id").alias("key"))
+    return out if with_key else out.drop("key")
+
+
+def least_of(key: str, named: str):
+    """The smallest doc_id of a group, or else its smallest key."""
+    return F.coalesce(F.min(F.when(F.col(named), F.col(key))), F.min(key))
