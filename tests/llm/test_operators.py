@@ -466,3 +466,17 @@ def test_near_dedup_of_rows_without_an_id(spark, docs):
     })
     stayed = [(r.doc_id, r.text.lower()) for r in corpus_pipeline.near_duplicates(spark, docs(rows), None).collect()]
     assert Counter(stayed) == Counter([(1, text("a")), (2, text("b")), (None, text("c")), (None, text("d")), (big, text("e")), (3, text("f"))])
+
+
+def test_long_secrets_of_small_alphabets():
+    import random
+
+    r, novelty = random.Random(4), secrets.Novelty()
+    found = lambda value: secrets.novel_spans(f"signing_key: {value}", novelty, secrets.NOVELTY)
+    for alphabet in ("0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz"):
+        for n in (64, 128, 256, 512, 1024, 4096):
+            for _ in range(10):
+                value = "".join(r.choice(alphabet) for _ in range(n))
+                assert found(value) == [(13, 3, 13 + n)], (alphabet, n)
+                assert not found("".join(r.choice(alphabet) for _ in range(8)) * (n // 4))
+        assert not found(alphabet[:1] * 300)

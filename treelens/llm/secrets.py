@@ -11,6 +11,7 @@ their characters.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import pyarrow as pa
@@ -59,6 +60,18 @@ IDENTIFIERS = (
 CONTEXT = 256
 #: Compressed bytes a character from which a candidate is reported.
 NOVELTY = 0.6
+#: From so many characters on zstandard shortens small alphabets without finding any match; so much of their entropy is asked for instead.
+CODED, SHARE = 64, 0.95
+ALPHABETS = ((re.compile(r"[0-9]+"), 10), (re.compile(r"[0-9A-F]+|[0-9a-f]+"), 16), (re.compile(r"[a-z]+|[A-Z]+"), 26))
+
+
+def needed(token: str, threshold: float) -> float:
+    """Compressed bytes a character from which a token is reported: ``threshold``, or less where its alphabet has no more."""
+    if len(token) >= CODED:
+        for alphabet, size in ALPHABETS:
+            if alphabet.fullmatch(token):
+                return min(threshold, SHARE * math.log2(size) / 8)
+    return threshold
 
 
 class Novelty:
@@ -124,7 +137,7 @@ def novel_spans(text: str, novelty: Novelty, threshold: float) -> list[tuple[int
     low = text.lower()
     if not any(s in low for s in STEMS + MORE_STEMS):
         return []
-    return [(start, 3, end) for start, end in candidates(text) if novelty.marginal(text, start, end) >= threshold]
+    return [(start, 3, end) for start, end in candidates(text) if novelty.marginal(text, start, end) >= needed(text[start:end], threshold)]
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
