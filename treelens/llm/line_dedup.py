@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, ascii_lower, few
+from .common import SPACE, Scratch, ascii_lower
 
 KEY = ["h1", "h2"]
 
@@ -38,7 +38,8 @@ class LineRuns:
 
     def __init__(self, scratch: Scratch, fan_in: int = 2):
         self.scratch, self.spark, self.fan_in = scratch, scratch.spark, fan_in
-        self.buckets = few(self.spark)
+        # as many buckets as a shuffle by KEY has partitions: a task then holds whole buckets, and a run has one file a bucket
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
     def tables(self) -> list[str]:
@@ -58,12 +59,12 @@ class LineRuns:
     def add(self, batch: DataFrame) -> None:
         """Adds a batch of (doc_id, h1, h2), all of whose ids are below those of the batches before, or null."""
         held = batch.select(*KEY, "doc_id").distinct()
+        # dealt as the runs are, so that neither side of the joins shuffles again
         rows = held.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
-        rows = rows.repartition(self.buckets, *KEY)  # one row a key by now, dealt as the runs are
         known = []
         for i, run in enumerate(self.tables()):
             known.append(F.col(f"in_{i}").isNotNull())
-            rows = rows.join(self.spark.table(run).select(*KEY, F.lit(True).alias(f"in_{i}")), KEY, "left")
+            rows = rows.join(self.spark.table(run).select(*KEY, F.lit(True).alias(f"in_{i}")).hint("merge"), KEY, "left")
         new = ~F.coalesce(*[F.when(k, True) for k in known], F.lit(False)) if known else F.lit(True)
         rows = rows.select(*KEY, "n_docs", F.when(new, F.col("holder")).alias("holder"))
         self._push(0, self._write(rows))
@@ -85,7 +86,7 @@ class LineRuns:
         for other in runs[1:]:
             more = self.spark.table(other).select(*KEY, F.col("n_docs").alias("n_more"), F.col("holder").alias("holder_more"))
             n = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_more", F.lit(0))
-            rows = rows.join(more, KEY, "full").select(*KEY, n.alias("n_docs"), F.greatest("holder", "holder_more").alias("holder"))
+            rows = rows.join(more.hint("merge"), KEY, "full").select(*KEY, n.alias("n_docs"), F.greatest("holder", "holder_more").alias("holder"))
         return rows
 
     def all(self) -> DataFrame:
