@@ -176,15 +176,45 @@ def brute_passages(rows):
     return out
 
 
-@pytest.mark.parametrize(("part_bytes", "open_limit"), [(40_000, 5_000), (7_000, 1)])
-def test_passages(docs, part_bytes, open_limit):
+@pytest.mark.parametrize(("part_bytes", "open_limit", "at_once"), [(40_000, 5_000, passages.AT_ONCE), (7_000, 1, 1_000)])
+def test_passages(docs, part_bytes, open_limit, at_once):
+    """With pieces of 1,000 bytes most texts are longer than a piece, and an anchor with two spans is salted."""
     rows = [*BOTH, (3000, "abcdefghij" * 40), (3001, "z" + "abcdefghij" * 25 + "y"), (3002, "ab" * 49 + "c" + "ab" * 60), (3003, "")]
-    got = by_id(passages.passage_dedup(docs(rows), part_bytes, open_limit))
+    got = by_id(passages.passage_dedup(docs(rows), part_bytes, open_limit, at_once=at_once))
     wanted = brute_passages(rows)
     assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == wanted
     assert sum(w[1] for w in wanted.values()) > 10_000
 
 
+def test_passages_of_repeated_and_null_ids(docs):
+    """Rows of one id and one text are one document; texts of one id go by their hash; no id comes last, after the largest there is."""
+    import random
+
+    r = random.Random(5)
+    line = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    a, b, c, d, e, big = line(150), line(150), line(150), line(300), line(130), 2**63 - 1
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (big, d), (None, d), (None, e), (None, e), (None, None), (8, b + c)]
+    got = Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in passages.passage_dedup(docs(rows)).collect())
+    whole, gone = lambda i, t: (i, len(t), 0, 0, sha(t)), lambda i, t: (i, len(t), len(t), 1, sha(""))
+    assert got == Counter([whole(1, a), gone(5, a), whole(5, b), whole(7, c), whole(7, c), whole(big, d), gone(None, d), whole(None, e), whole(None, e), whole(None, ""), gone(8, b + c)])
+
+
+def test_spans_that_only_look_equal():
+    """Spans with one hash and other bytes are told apart by their digests, and fetched once more where their bytes are wanted."""
+    row = lambda doc, digest, context=None: (doc, 0, 0, 1, 0, digest, context)
+    x, y = b"x" * 100, b"y" * 100
+    for rows, told, repeats in (
+        ([row(1, b"x"), row(2, b"x")], True, [(2, 0, 0, 1)]), ([row(1, b"x"), row(2, b"y")], False, []), ([row(1, b"x", x), row(2, b"y", y)], True, []),
+        ([row(1, b"x", x), row(2, b"y", y), row(3, b"z")], False, []), ([row(1, b"x", b""), row(2, b"y", b""), row(3, b"y")], True, [(3, 0, 0, 1)]),
+    ):
+        found = []
+        assert passages.repeats_of_leaves(rows, found) is told and found == repeats
+    import numpy as np
+
+    data = np.frombuffer(b"abcdabceabcd", np.uint8)
+    assert passages._differ(data, np.array([0, 0, 4]), np.array([4, 8, 0]), np.array([3, 4, 4])).tolist() == [False, False, True]
+
+
 def test_suffix_order():
     import random
 
@@ -446,7 +476,7 @@ def test_passages_of_many_texts_without_an_id(docs, open_limit):
     shared = [line(150) for _ in range(40)]
     texts = list(dict.fromkeys(line(r.randint(0, 120)) + r.choice(shared) + line(r.randint(20, 200)) for _ in range(700)))
     assert len({zlib.crc32(t.encode()) & 0xFFFF for t in texts}) < len(texts)
-    ordered = sorted(texts, key=lambda t: passages.tag_of(t.encode()))
+    ordered = [x.text for x in passages.named(docs([(None, t) for t in texts])).orderBy("doc", "tag").collect()]
     wanted = Counter(brute_passages(list(enumerate(ordered))).values())
     rows = passages.passage_dedup(docs([(None, t) for t in texts]), 20_000, open_limit).collect()
     assert Counter((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows) == wanted

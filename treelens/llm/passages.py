@@ -5,17 +5,20 @@ known by its anchor, the SEED-byte substring in it with the least hash: equal
 strings have equal anchors at equal places.  The strings of one anchor start
 side by side; together they are a span.
 
-1. Spans are dealt by the hash of their anchor.  Of equal spans all but the
-   first go, wholly; each batch of texts settles its own before it deals them,
-   so that copies don't meet in thousands.  Anchors with different spans are open.
-2. The first of each open span is fetched from its text.  Spans of one anchor
-   are aligned at it: their suffixes from the anchor on are put in order by
-   deep-shallow sorting, and in an interval of that order whose common prefixes
-   are long enough, those equal before the anchor, too, are one string.
+1. Spans are dealt by the hash of their anchor.  Each batch of texts settles
+   its own equal spans first, comparing their bytes, so that copies don't meet
+   in thousands.  Anchors that are left with two spans or more are candidates.
+2. The spans of candidates are fetched from their texts: a 128-bit BLAKE2
+   digest of each one's bytes, and the bytes of the first of those that look
+   equal.  Spans of one anchor with one digest are one leaf of the order; the
+   leaves' suffixes from the anchor on are put in order by deep-shallow sorting,
+   and in an interval of that order whose common prefixes are long enough,
+   those equal before the anchor, too, are one string.  Spans that looked equal
+   and have another digest are fetched once more, with their bytes.
 3. Each text loses the bytes of all strings found not to be the first.
 
-Anchors with more than OPEN different spans are dealt once more, by whole
-strings, so that no task holds them all.
+The leaves of an anchor with more than ``open_limit`` different spans are
+salted: dealt string by string, so that no task holds them all.
 """
 
 from __future__ import annotations
@@ -36,20 +39,19 @@ LENGTH, SEED = 100, 32
 PLACES = LENGTH - SEED + 1
 #: Bytes of text of one part, and bytes that are hashed at once.
 PART_BYTES, AT_ONCE = 16_000_000, 1_000_000
+#: Different spans of an anchor beyond which it is salted.
 OPEN = 5_000
-#: Stands for a null doc_id, which comes after all others.
-NO_ID = 2**63 - 1
-REPEATS, SPANS, STRINGS = 0, 1, 2
+REPEATS, SPANS = 0, 1
 
 
-def _tables():
+def _tables(at_once: int):
     """A number for each byte, and the powers of an odd base and of its inverse modulo 2**64."""
     import numpy as np
 
     from .minhash import _mixed
 
     base = 0x9FB21C651E98DF25
-    n = AT_ONCE + LENGTH + 1
+    n = at_once + LENGTH + 1
     powers = [np.ones(n, np.uint64), np.ones(n, np.uint64)]
     for p, b in zip(powers, (base, pow(base, -1, 2**64)), strict=True):
         p[1:] = np.uint64(b)
@@ -60,8 +62,8 @@ def _tables():
 class Spans:
     """The spans of texts."""
 
-    def __init__(self):
-        self.codes, self.powers, self.inverse = _tables()
+    def __init__(self, at_once: int = AT_ONCE):
+        self.codes, self.powers, self.inverse = _tables(at_once)
 
     def of(self, data, starts, ends):
         """(which text, start, strings, place of the anchor, anchor hash, span hash) of the texts data[starts:ends]."""
@@ -135,7 +137,8 @@ def unpack(blob: bytes, **types):
 
 REPEAT_TYPES = {"doc": "i8", "tag": "i8", "lo": "i4", "count": "u1"}
 SPAN_TYPES = REPEAT_TYPES | {"place": "u1", "anchor": "u8", "span": "u8"}
-OPEN_TYPES = REPEAT_TYPES | {"place": "u1", "anchor": "u8", "many": "u1"}
+#: many: how many spans its anchor has, 0 for one that all look equal to; first: whether it is the first of those that look equal.
+OPEN_TYPES = REPEAT_TYPES | {"place": "u1", "anchor": "u8", "many": "u1", "first": "u1"}
 ROWS = "kind int, part int, blob binary"
 
 
@@ -167,64 +170,92 @@ def _firsts(c: dict):
     return s, new, other
 
 
-def _id(value) -> int:
-    return NO_ID if value is None else value
+def named(docs: DataFrame) -> DataFrame:
+    """(doc, tag, text) of ``docs``: what a document is known by.
 
+    tag tells texts of one id apart, and rows without an id, which come after
+    all others, from any id there is: 62 bits of a hash of the text, and one
+    more where the id is null.
+    """
+    text = F.coalesce("text", F.lit(""))
+    nameless = F.col("doc_id").isNull()
+    tag = F.shiftrightunsigned(F.xxhash64(text), 2) + F.when(nameless, F.lit(2**62)).otherwise(F.lit(0))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), tag.alias("tag"), text.alias("text"))
+
+
+def _differ(data, a, b, size):
+    """Whether data[a:a + size] and data[b:b + size] differ, for arrays of them."""
+    import numpy as np
 
-def tag_of(text: bytes) -> int:
-    """Tells texts of one id apart: a 64-bit hash, signed."""
-    import xxhash
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    unlike = data[np.repeat(a, size) + at] != data[np.repeat(b, size) + at]
+    return np.add.reduceat(unlike, ends - size) > 0
 
-    h = xxhash.xxh3_64_intdigest(text)
-    return h - (h >> 63 << 64)
 
+def deal_spans(docs: DataFrame, parts: int, at_once: int = AT_ONCE) -> DataFrame:
+    """Step 1, map side: rows of spans by anchor, and of repeats found within the batch by document; docs: (doc, tag, text)."""
 
-def deal_spans(docs: DataFrame, parts: int) -> DataFrame:
-    """Step 1, map side: rows of spans by anchor, and of repeats found within the batch by doc."""
+    def settled(c: dict, data):
+        """_firsts, by bytes: a span whose bytes are not those of the first with its hash gets another hash."""
+        import numpy as np
+
+        while True:
+            s, new, other = _firsts(c)
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            again = np.flatnonzero(~new)
+            unlike = again[_differ(data, s["at"][again], s["at"][first[again]], s["count"][again] + (LENGTH - 1))] if len(again) else again
+            if not len(unlike):
+                return s, new, other
+            for i in unlike.tolist():
+                span = data[s["at"][i] : s["at"][i] + int(s["count"][i]) + LENGTH - 1].tobytes()
+                s["span"][i] = int.from_bytes(hashlib.blake2b(span, digest_size=8).digest(), "big")
+            c = s
 
     def flush(spans, pending, out):
         import numpy as np
 
         sizes = np.array([len(b) for _, b, _, _ in pending])
         ends = np.cumsum(sizes)
-        text, lo, count, place, anchor, span = spans.of(np.frombuffer(b"".join(b for _, b, _, _ in pending), np.uint8), ends - sizes, ends)
-        ids, tags, offsets = (np.array([p[i] for p in pending], t) for i, t in ((0, np.int64), (2, np.int64), (3, np.int64)))
-        c = {"doc": ids[text], "tag": tags[text], "lo": (lo + offsets[text]).astype("i4"), "count": count.astype("u1"), "place": place.astype("u1"), "anchor": anchor, "span": span}
+        data = np.frombuffer(b"".join(b for _, b, _, _ in pending), np.uint8)
+        text, lo, count, place, anchor, span = spans.of(data, ends - sizes, ends)
+        ids, tags, offsets = (np.array([p[i] for p in pending], np.int64) for i in (0, 2, 3))
+        c = {"doc": ids[text], "tag": tags[text], "lo": (lo + offsets[text]).astype("i4"), "count": count, "place": place.astype("u1"), "anchor": anchor, "span": span, "at": lo + (ends - sizes)[text]}
         if not len(lo):
             return
-        s, new, other = _firsts(c)
+        s, new, other = settled(c, data)
+        s["count"] = s["count"].astype("u1")
         again = {k: s[k][other] for k in REPEAT_TYPES}
-        _rows(REPEATS, again["doc"] % parts, again, out)
-        once = {k: v[new] for k, v in s.items()}
+        _rows(REPEATS, (again["doc"] ^ again["tag"]) % parts, again, out)
+        once = {k: s[k][new] for k in SPAN_TYPES}
         _rows(SPANS, (once["anchor"] % np.uint64(parts)).astype(np.int64), once, out)
 
     def work(batches):
-        spans = Spans()
+        spans = Spans(at_once)
         for batch in batches:
             pending, size = [], 0
-            for doc, value in zip(batch.column(0), batch.column(1), strict=True):
-                text = (value.as_py() or "").encode("utf-8", "surrogatepass")
-                tag = tag_of(text)
+            for doc, tag, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = value.as_py().encode("utf-8", "surrogatepass")
                 # a longer text comes in pieces that overlap by all but one byte of a string
-                for at in range(0, max(1, len(text) - LENGTH + 1), AT_ONCE - LENGTH + 1):
-                    piece = text[at : at + AT_ONCE]
-                    if pending and size + len(piece) > AT_ONCE:
+                for at in range(0, max(1, len(text) - LENGTH + 1), at_once - LENGTH + 1):
+                    piece = text[at : at + at_once]
+                    if pending and size + len(piece) > at_once:
                         out = defaultdict(list)
                         flush(spans, pending, out)
                         yield pa.RecordBatch.from_pydict(_batch(out))
                         pending, size = [], 0
-                    pending.append((_id(doc.as_py()), piece, tag, at))
+                    pending.append((doc, piece, tag, at))
                     size += len(piece)
             out = defaultdict(list)
             if pending:
                 flush(spans, pending, out)
             yield pa.RecordBatch.from_pydict(_batch(out))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, ROWS)
+    return docs.mapInArrow(work, ROWS)
 
 
 def settle_spans(spans: DataFrame, parts: int, open_limit: int) -> DataFrame:
-    """Step 1, reduce side: repeats by doc, and the first of each open span by doc."""
+    """Step 1, reduce side: the spans of candidates, by document."""
 
     def work(key, table):
         import numpy as np
@@ -232,75 +263,73 @@ def settle_spans(spans: DataFrame, parts: int, open_limit: int) -> DataFrame:
         found = [unpack(b.as_py(), **SPAN_TYPES) for b in table["blob"]]
         c = {k: np.concatenate([f[k] for f in found]) for k in SPAN_TYPES}
         del found
-        s, new, other = _firsts(c)
+        s, new, _ = _firsts(c)
         out = defaultdict(list)
-        again = {k: s[k][other] for k in REPEAT_TYPES}
-        _rows(REPEATS, again["doc"] % parts, again, out)
-        s = {k: v[new] for k, v in s.items()}
         group = np.cumsum(np.concatenate([[True], np.diff(s["anchor"]) != 0])) - 1
-        sizes = np.bincount(group)[group]
+        different = np.bincount(group, new)[group]
         # a span alone with its anchor can hold no string twice: one anchor has one place in it
-        kept = sizes > 1
-        few = {k: s[k][kept] for k in OPEN_TYPES if k != "many"} | {"many": (sizes[kept] > open_limit).astype("u1")}
-        _rows(SPANS, few["doc"] % parts, few, out)
+        kept = np.bincount(group)[group] > 1
+        own = {k: s[k][kept] for k in OPEN_TYPES if k not in ("many", "first")}
+        own |= {"many": ((different > 1).astype("u1") + (different > open_limit))[kept].astype("u1"), "first": new[kept].astype("u1")}
+        _rows(SPANS, (own["doc"] ^ own["tag"]) % parts, own, out)
         return pa.table(_batch(out))
 
     return spans.groupBy("part").applyInArrow(work, ROWS)
 
 
-CONTEXTS = "part int, anchor long, doc long, tag long, lo int, place int, context binary"
+CONTEXTS = "part int, anchor long, doc long, tag long, lo int, count int, place int, digest binary, context binary"
 
 
-def fetch(docs: DataFrame, opened: DataFrame, parts: int) -> DataFrame:
-    """Step 2, map side: the bytes of open spans, dealt by anchor, or string by string for anchors with many."""
+def fetch(docs: DataFrame, opened: DataFrame, parts: int, whole: bool = False) -> DataFrame:
+    """Step 2, map side: the digests of spans, and the bytes of the first of those that look equal, or with ``whole`` of all.
 
-    def work(key, left, right):
-        import xxhash
+    They are dealt by anchor; different spans of salted anchors string by string.
+    """
 
-        texts = {}
-        for doc, value in zip(left["doc_id"], left["text"], strict=True):
-            text = (value.as_py() or "").encode("utf-8", "surrogatepass")
-            texts[_id(doc.as_py()), tag_of(text)] = text
+    def work(key, left, right):
+        texts = {(doc, tag): text.as_py().encode("utf-8", "surrogatepass") for doc, tag, text in zip(left["doc"].to_pylist(), left["tag"].to_pylist(), left["text"], strict=True)}
         out = defaultdict(list)
-        firsts: dict[int, tuple] = {}
+        firsts: dict[bytes, tuple] = {}
         again = []
 
-        def add(part, anchor, doc, tag, lo, place, context):
+        def add(part, anchor, doc, tag, lo, count, place, digest, context):
             out["part"].append(part % parts)
             out["anchor"].append(anchor - (anchor >> 63 << 64))
             out["doc"].append(doc)
             out["tag"].append(tag)
             out["lo"].append(lo)
+            out["count"].append(count)
             out["place"].append(place)
+            out["digest"].append(digest)
             out["context"].append(context)
 
         for blob in right["blob"]:
             c = unpack(blob.as_py(), **OPEN_TYPES)
-            for doc, tag, lo, count, place, anchor, many in zip(*(c[k].tolist() for k in ("doc", "tag", "lo", "count", "place", "anchor", "many")), strict=True):
-                text = texts[doc, tag]
-                if not many:
-                    add(anchor, anchor, doc, tag, lo, place, text[lo : lo + count + LENGTH - 1])
-                    continue
-                for at in range(lo, lo + count):
-                    own = xxhash.xxh3_64_intdigest(text[at : at + LENGTH])
-                    first, last = sorted((firsts.get(own, (doc, tag, at)), (doc, tag, at)))
-                    firsts[own] = first
-                    if first != last:
-                        again.append(last)
+            for doc, tag, lo, count, place, anchor, many, first in zip(*(c[k].tolist() for k in ("doc", "tag", "lo", "count", "place", "anchor", "many", "first")), strict=True):
+                span = texts[doc, tag][lo : lo + count + LENGTH - 1]
+                add(anchor, anchor, doc, tag, lo, count, place, hashlib.blake2b(span, digest_size=16).digest(), span if whole or first and many == 1 else b"" if first and many == 2 else None)
+                if first and many == 2 and not whole:
+                    for at in range(count):
+                        string = span[at : at + LENGTH]
+                        earlier, later = sorted((firsts.get(string, (doc, tag, lo + at)), (doc, tag, lo + at)))
+                        firsts[string] = earlier
+                        if earlier != later:
+                            again.append(later)
         # of strings of these texts only the first meets those of others; the rest are known to repeat
-        for own, (doc, tag, at) in firsts.items():
-            add(own, own, doc, tag, at, 0, texts[doc, tag][at : at + LENGTH])
+        for string, (doc, tag, at) in firsts.items():
+            digest = hashlib.blake2b(string, digest_size=16).digest()
+            own = int.from_bytes(digest[:8], "big")
+            add(own, own, doc, tag, at, 1, 0, digest, string)
         for doc, tag, at in again:
-            add(doc, 0, doc, tag, at, 0, b"")
-        types = {"part": pa.int32(), "anchor": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "lo": pa.int32(), "place": pa.int32(), "context": pa.binary()}
+            add(doc ^ tag, 0, doc, tag, at, 1, 0, None, None)
+        types = {"part": pa.int32(), "anchor": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "lo": pa.int32(), "count": pa.int32(), "place": pa.int32(), "digest": pa.binary(), "context": pa.binary()}
         return pa.table({k: pa.array(out[k], t) for k, t in types.items()})
 
     return _by_doc(docs, parts).cogroup(opened.groupBy("part")).applyInArrow(work, CONTEXTS)
 
 
 def _by_doc(docs: DataFrame, parts: int):
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(NO_ID)), F.lit(parts)).cast("int")).groupBy("part")
+    return docs.withColumn("part", F.pmod(F.col("doc").bitwiseXOR(F.col("tag")), F.lit(parts)).cast("int")).groupBy("part")
 
 
 def repeats_of_anchor(members: list[tuple]) -> list[tuple]:
@@ -313,11 +342,6 @@ def repeats_of_anchor(members: list[tuple]) -> list[tuple]:
     before = [m[4][: m[3]] for m in members]
     after = [m[4][m[3] : m[3] + LENGTH] for m in members]
     least = [max(0, LENGTH - len(a)) for a in after]
-    if len(members) == 2:
-        low = max(*least, LENGTH - common_prefix(*after))
-        high = min(members[0][3], members[1][3], common_suffix(*before))
-        doc, tag, lo, place, _ = members[1]
-        return [(doc, tag, lo + place - high, high - low + 1)] if low <= high else []
     order = deep_shallow(after, SEED if members[0][3] or len(after[0]) < LENGTH else 0)
     shared = [0] + [common_prefix(after[x], after[y]) for x, y in zip(order, order[1:], strict=False)]
     near = [max(shared[k], shared[k + 1] if k + 1 < len(order) else 0) for k in range(len(order))]
@@ -342,8 +366,32 @@ def repeats_of_anchor(members: list[tuple]) -> list[tuple]:
     return found
 
 
+def repeats_of_leaves(rows: list[tuple], found: list[tuple]) -> bool:
+    """Adds the repeats among the spans (doc, tag, lo, count, place, digest, context) of one anchor to ``found``; whether they could be told.
+
+    They can't where a span that looked equal to another has a digest of its
+    own, and no bytes here to be sorted by.  Spans with empty bytes are salted:
+    only those with one digest are told here, their strings have anchors of
+    their own.
+    """
+    leaves: dict[bytes, tuple] = {}
+    bytes_of: dict[bytes, bytes] = {}
+    again = []
+    for r in sorted(rows, key=lambda r: r[:3]):
+        if r[5] is None or leaves.setdefault(r[5], r)[:3] != r[:3]:
+            again.append(r[:4])
+        if r[6] is not None:
+            bytes_of[r[5]] = r[6]
+    if len(leaves) > 1 and len(bytes_of) < len(leaves):
+        return False
+    found += again
+    if len(leaves) > 1 and all(bytes_of.values()):
+        found += repeats_of_anchor([(*r[:3], r[4], bytes_of[d]) for d, r in leaves.items()])
+    return True
+
+
 def settle_strings(contexts: DataFrame, parts: int) -> DataFrame:
-    """Step 2, reduce side: repeats by doc."""
+    """Step 2, reduce side: repeats by document, and spans that are to be fetched with their bytes."""
 
     def work(key, table):
         import numpy as np
@@ -351,19 +399,19 @@ def settle_strings(contexts: DataFrame, parts: int) -> DataFrame:
         order = np.argsort(table["anchor"].to_numpy(), kind="stable")
         table = table.take(pa.array(order))
         anchors = table["anchor"].to_numpy()
-        rows = list(zip(*(table[c].to_pylist() for c in ("doc", "tag", "lo", "place", "context")), strict=True))
+        rows = list(zip(*(table[c].to_pylist() for c in ("doc", "tag", "lo", "count", "place", "digest", "context")), strict=True))
         cuts = [0, *(np.flatnonzero(np.diff(anchors)) + 1).tolist(), len(rows)]
-        found = []
+        found, untold = [], []
         for a, b in zip(cuts, cuts[1:], strict=False):
-            known = [(*r[:3], 1) for r in rows[a:b] if not r[4]]
-            found += known
-            if b - a - len(known) > 1:
-                found += repeats_of_anchor([r for r in rows[a:b] if r[4]])
+            own = rows[a:b]
+            if not repeats_of_leaves(own, found):
+                untold += [(*r[:5], int(anchors[a]) % 2**64, 1, 0) for r in own]
         out = defaultdict(list)
-        if found:
-            doc, tag, lo, count = (np.array(v) for v in zip(*found, strict=True))
-            columns = {"doc": doc.astype("i8"), "tag": tag.astype("i8"), "lo": lo.astype("i4"), "count": count.astype("u1")}
-            _rows(REPEATS, columns["doc"] % parts, columns, out)
+        for kind, members, types in ((REPEATS, found, REPEAT_TYPES), (SPANS, untold, OPEN_TYPES)):
+            if members:
+                names = ("doc", "tag", "lo", "count", "place", "anchor", "many", "first")[: len(members[0])]
+                columns = {k: np.array(v, "u8" if k == "anchor" else "i8").astype(types[k]) for k, v in zip(names, zip(*members, strict=True), strict=True)}
+                _rows(kind, (columns["doc"] ^ columns["tag"]) % parts, columns, out)
         return pa.table(_batch(out))
 
     return contexts.groupBy("part").applyInArrow(work, ROWS)
@@ -387,7 +435,7 @@ def without(text: bytes, los: list[int], counts: list[int]) -> tuple[bytes, int,
     return b"".join(kept), removed, runs
 
 
-def passage_dedup(docs: DataFrame, part_bytes: int = PART_BYTES, open_limit: int = OPEN, with_kept: bool = False) -> DataFrame:
+def passage_dedup(docs: DataFrame, part_bytes: int = PART_BYTES, open_limit: int = OPEN, with_kept: bool = False, at_once: int = AT_ONCE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs`` (doc_id, text), and kept (binary) if asked for.
 
     Texts are UTF-8 bytes; a null text is empty.  A null doc_id comes after all
@@ -396,19 +444,22 @@ def passage_dedup(docs: DataFrame, part_bytes: int = PART_BYTES, open_limit: int
     the text.  Texts of fewer than LENGTH bytes lose nothing.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    id_type = docs.schema["doc_id"].dataType
+    docs = named(docs.select("doc_id", "text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = _prime(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes)))
-    dealt = scratch.write(deal_spans(docs, parts), "dealt")
-    settled = scratch.write(settle_spans(dealt.where(F.col("kind") == SPANS), parts, open_limit), "settled")
-    early = scratch.write(dealt.where(F.col("kind") == REPEATS), "early", slim=True)
+    dealt = scratch.write(deal_spans(docs, parts, at_once), "dealt")
+    opened = scratch.write(settle_spans(dealt.where(F.col("kind") == SPANS), parts, open_limit), "opened")
+    repeats = scratch.write(dealt.where(F.col("kind") == REPEATS), "repeats", slim=True)
     scratch.drop("dealt")
     free_shuffles(spark)
-    opened = settled.where(F.col("kind") == SPANS)
-    strings = scratch.write(settle_strings(fetch(docs, opened, parts), parts), "strings")
-    free_shuffles(spark)
-    repeats = early.unionByName(settled.where(F.col("kind") == REPEATS)).unionByName(strings)
-    fields = [T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
+    rounds = 0
+    while not rounds or opened.head(1):
+        strings = scratch.write(settle_strings(fetch(docs, opened, parts, whole=rounds > 0), parts), f"strings_{rounds}")
+        free_shuffles(spark)
+        repeats = repeats.unionByName(strings.where(F.col("kind") == REPEATS))
+        opened, rounds = strings.where(F.col("kind") == SPANS), rounds + 1
+    fields = [T.StructField("doc", T.LongType()), T.StructField("named", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
     if with_kept:
         fields.append(T.StructField("kept", T.BinaryType()))
 
@@ -423,19 +474,20 @@ def passage_dedup(docs: DataFrame, part_bytes: int = PART_BYTES, open_limit: int
         ends = [*first[1:], len(order)]
         place = {(int(c["doc"][a]), int(c["tag"][a])): (a, b) for a, b in zip(first, ends, strict=False)}
         out = defaultdict(list)
-        for doc, value in zip(left["doc_id"], left["text"], strict=True):
-            text = (value.as_py() or "").encode("utf-8", "surrogatepass")
-            a, b = place.get((_id(doc.as_py()), tag_of(text)), (0, 0))
+        for doc, tag, value in zip(left["doc"].to_pylist(), left["tag"].to_pylist(), left["text"], strict=True):
+            text = value.as_py().encode("utf-8", "surrogatepass")
+            a, b = place.get((doc, tag), (0, 0))
             kept, removed, runs = without(text, c["lo"][a:b].tolist(), c["count"][a:b].tolist())
             out["n_bytes"].append(len(text))
             out["n_removed"].append(removed)
             out["n_spans"].append(runs)
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             out["kept"].append(kept)
-        columns = {"doc_id": left["doc_id"], **{k: pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")}, "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
+        columns = {"doc": left["doc"], "named": pa.array([tag < 2**62 for tag in left["tag"].to_pylist()], pa.bool_()), **{k: pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")}, "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
         return pa.table(columns | ({"kept": pa.array(out["kept"], pa.binary())} if with_kept else {}))
 
-    return _by_doc(docs, parts).cogroup(repeats.groupBy("part")).applyInArrow(work, T.StructType(fields))
+    out = _by_doc(docs, parts).cogroup(repeats.groupBy("part")).applyInArrow(work, T.StructType(fields))
+    return out.select(F.when(F.col("named"), F.col("doc")).cast(id_type).alias("doc_id"), *(f.name for f in fields[2:]))
 
 
 def _prime(n: int) -> int:
