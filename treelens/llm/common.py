@@ -36,12 +36,15 @@ def words(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the shared folder of the cluster (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in local tests, a folder of this
-    machine is made and set for the session's checkpoints.
+    Only where that setting is absent and the master is local, as in tests, a
+    folder of this machine is made and set for the session's checkpoints; on a
+    cluster it is an error.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

@@ -8,10 +8,9 @@ rows or more have set.  In the second pass a row whose bits are all kept goes
 through the shuffle that settles its group; all others are certainly single
 and pass straight through, without shuffle.
 
-The filter holds at most ``max_blocks`` blocks of 4 KB, a bound that does not
-depend on the data, so it may be broadcast.  Beyond its capacity more single
-rows test as possibly repeated and shuffle too, as slim rows; results stay the
-same.
+The filter has 16 bits a row, in blocks of 4 KB, at every size.  Up to
+``broadcast_blocks`` blocks it is broadcast; a larger one meets the fingerprint
+rows by a shuffle of both by block, in which only slim rows move.
 """
 
 from __future__ import annotations
@@ -21,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch
 
-#: Bits of one block, as bitmap_construct_agg makes them.
-BLOCK = 32768
+#: Bits of one block, as bitmap_construct_agg makes them; bits of the filter a row; blocks of a filter that is broadcast (16 MB).
+BLOCK, BITS, BROADCAST_BLOCKS = 32768, 16, 4096
 
 
 def normalised(text: Column) -> Column:
@@ -58,7 +57,7 @@ def is_set(bitmap: Column, bit: Column) -> Column:
     return F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
 
 
-def exact_dedup(docs: DataFrame, max_blocks: int = 4096) -> DataFrame:
+def exact_dedup(docs: DataFrame, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     doc_id, keep_id (smallest doc_id with an equal text), group_size (rows with
@@ -70,9 +69,10 @@ def exact_dedup(docs: DataFrame, max_blocks: int = 4096) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     prints = scratch.write(fingerprints(docs), "prints")
-    blocks = max(1, min(max_blocks, -(-prints.count() * 16 // BLOCK)))
+    blocks = max(1, -(-prints.count() * BITS // BLOCK))
     seen = repeated_bits(prints, blocks)
-    tested = prints.withColumn("block", block(blocks)).join(F.broadcast(seen), "block", "left")
+    seen = F.broadcast(seen) if blocks <= broadcast_blocks else seen.hint("merge")
+    tested = prints.withColumn("block", block(blocks)).join(seen, "block", "left")
     tested = tested.withColumn("maybe", is_set(F.col("bitmap"), positions()[0]) & is_set(F.col("bitmap"), positions()[1]))
     maybe = tested.where("maybe").select("doc_id", "text_sha256")
     groups = scratch.write(maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups", slim=True)

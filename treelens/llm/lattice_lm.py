@@ -2,33 +2,36 @@
 
 The scores of an existing piece vocabulary weight every way to cut a word into
 pieces; the forward recursion sums over all of them in log space, and gives the
-word's marginal probability.  The corpus adds one more arc to each word's
-lattice, across the whole word, weighted by how often the training documents
-have it: P(word) = (count + distinct * marginal) / (tokens + distinct).  A
-document's score is the sum over its words and its end.
-
-No worker holds the words of the corpus.  Documents are dealt into chunks of
-bounded size; each chunk asks for the counts of its own distinct words.  Parts
-of the vocabulary, dealt by hash of the word, sum up what the chunks have, run
-the recursion once for each distinct word, and answer every chunk.
+word's marginal probability.  A document's score is the sum over its words and
+its end: the marginal probability of its text.
+
+Counts of words in the training documents stand beside it: they give the base
+score, and a second score whose lattices have one more arc, across the whole
+word, P(word) = (count + distinct * marginal) / (tokens + distinct).
+
+No worker holds the words of the corpus.  Each task reads its texts once, as
+chunks of bounded size: the chunk's distinct words with their counts, and its
+documents as places in that list.  Words of all chunks are summed up by an
+aggregation, and each distinct word goes through the recursion once; joined
+back to (chunk, place), the answers meet the chunk's documents.  What moves is
+the words of chunks and places, never a text.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_shuffles
+from .common import Scratch
 from .pieces import BYTE, MARK, NORMAL
 
-#: Bytes of text in a chunk.
-CHUNK_BYTES = 24_000_000
+#: Bytes of text in a chunk, but for a longer text, and bytes that are cut into words at once.
+CHUNK_BYTES, AT_ONCE = 24_000_000, 1_000_000
 #: Pieces' probabilities from their ranks, which the vocabulary's scores are: 1 / (rank + SHIFT), as Zipf and Mandelbrot have it.
 SHIFT = 2.7
 #: Probability of the end of a text, and of all single bytes together.
@@ -82,101 +85,129 @@ class Lattice:
         return total + (self.known(run) if run else 0.0)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words, A-Z lower-cased, then the end.  Bytes split and lower just as the contract has it."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    found.append(END)
-    return found
+GAP = re.compile(rb"[ \t-\r]")
 
 
-def lm_score(docs: DataFrame, model_path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score of each row of ``docs`` (doc_id, text).
+def blocks(text: bytes):
+    """Lists of a text's words, A-Z lower-cased.  Bytes split and lower just as the contract has it."""
+    at = 0
+    while at < len(text):
+        gap = GAP.search(text, at + AT_ONCE)
+        stop = gap.start() if gap else len(text)
+        yield text[at:stop].lower().split()
+        at = stop
 
-    Documents with crc32(doc_id) mod 10 = 0 are held out; the others train.  A
-    null doc_id counts as the empty string, which is held out; a null text is
-    empty and has the end only.  Rows that repeat a doc_id count and are scored
-    each.  lattice_score is the score without the corpus.  Without any training
-    token both scores are the lattice's alone.  Other columns are ignored.
-    """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    with open(model_path, "rb") as f:
-        data = f.read()
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % HELD_OUT == 0
-    dealt = docs.select("doc_id", "text", held.alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"))
 
-    def ask(key, table):
+class Places(dict):
+    """Words, numbered as they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class Chunk:
+    """The documents of a chunk: ids, held_out, tokens of each, and all of them as places in the list of words."""
+
+    def __init__(self):
+        self.places, self.ids, self.held, self.sizes, self.tokens, self.bytes = Places(), [], [], [], [], 0
+
+    def add(self, doc_id, held_out: bool, text: bytes) -> None:
         import numpy as np
 
-        counts, seen = Counter(), set()
-        for text, out in zip(table["text"], table["held_out"], strict=True):
-            found = tokens(text.as_py())
-            (seen if out.as_py() else counts).update(found)
-        parts: list[list[bytes]] = [[] for _ in range(chunks)]
-        for w in sorted(seen.union(counts)):
-            parts[zlib.crc32(w) % chunks].append(w)
-        used = [p for p in range(chunks) if parts[p]]
-        return pa.table({
-            "part": pa.array(used, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(used), pa.int32()),
-            "words": pa.array([b" ".join(parts[p]) for p in used], pa.binary()),
-            "counts": pa.array([np.array([counts[w] for w in parts[p]], np.int64).tobytes() for p in used], pa.binary()),
-        })
-
-    def answer(key, table):
+        own = [np.fromiter(map(self.places.__getitem__, words), np.uint32, len(words)) for words in blocks(text)]
+        own.append(np.array([self.places[END]], np.uint32))
+        self.ids.append(doc_id)
+        self.held.append(held_out)
+        self.sizes.append(sum(map(len, own)))
+        self.tokens += own
+        self.bytes += len(text)
+
+    def row(self, number: int, id_type) -> pa.RecordBatch:
+        """One row: number, words, counts in training documents, ids, held_out, sizes and the compressed places."""
         import numpy as np
+        import zstandard
+
+        every = np.concatenate(self.tokens)
+        train = every[~np.repeat(np.array(self.held), self.sizes)]
+        counts = np.bincount(train, minlength=len(self.places))
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        columns = {
+            "chunk": pa.array([number], pa.int64()), "words": one(list(self.places), pa.binary()), "counts": one(counts, pa.int64()), "ids": one(self.ids, id_type),
+            "held_out": one(self.held, pa.bool_()), "sizes": one(self.sizes, pa.int64()), "places": pa.array([zstandard.compress(every.tobytes(), 1)], pa.binary()),
+        }
+        return pa.RecordBatch.from_pydict(columns)
 
-        lattice, total, rows = Lattice(data), Counter(), []
-        for words, counts in zip(table["words"], table["counts"], strict=True):
-            words = words.as_py().split(b" ")
-            rows.append(words)
-            for w, c in zip(words, np.frombuffer(counts.as_py(), np.int64).tolist(), strict=True):
-                total[w] += c
-        logs = {w: lattice.word(w) for w in total}
-        n = len(rows)
-        return pa.table({
-            "chunk": table["chunk"], "words": table["words"],
-            "counts": pa.array([np.array([total[w] for w in words], np.int64).tobytes() for words in rows], pa.binary()),
-            "logs": pa.array([np.array([logs[w] for w in words]).tobytes() for words in rows], pa.binary()),
-            "part_tokens": pa.array([sum(total.values())] + [0] * (n - 1), pa.int64()),
-            "part_distinct": pa.array([sum(c > 0 for c in total.values())] + [0] * (n - 1), pa.int64()),
-        })
-
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "part int, chunk int, words binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(answer, "chunk int, words binary, counts binary, logs binary, part_tokens long, part_distinct long")
-    answers = scratch.write(answers, "answers")
-    del asked
-    free_shuffles(spark)
-    train, distinct = answers.agg(F.sum("part_tokens"), F.sum("part_distinct")).first()
-    train, distinct = train or 0, distinct or 0
+
+def lm_score(docs: DataFrame, model_path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score of each row of ``docs`` (doc_id, text).
+
+    score is the lattice's marginal, mixed_score that of lattices with the arcs
+    of counted words.  Documents with crc32(doc_id) mod 10 = 0 are held out;
+    the others train.  A null doc_id counts as the empty string, which is held
+    out; a null text is empty and has the end only.  Rows that repeat a doc_id
+    count and are scored each.  Without any training token the mixed score is
+    the lattice's.  Other columns are ignored.
+    """
+    scratch = Scratch(docs.sparkSession)
+    with open(model_path, "rb") as f:
+        data = f.read()
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % HELD_OUT == 0
+    id_type = docs.schema["doc_id"].dataType
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        # tasks number their chunks apart from each other
+        number = TaskContext.get().partitionId() << 32
+        chunk = Chunk()
+        for batch in batches:
+            own = batch.schema.field(0).type
+            for doc_id, value, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = (value.as_py() or "").encode("utf-8", "surrogatepass")
+                if chunk.ids and chunk.bytes + len(text) > chunk_bytes:
+                    yield chunk.row(number, own)
+                    chunk, number = Chunk(), number + 1
+                chunk.add(doc_id, out, text)
+        if chunk.ids:
+            yield chunk.row(number, own)
+
+    fields = [("chunk", T.LongType()), ("words", T.ArrayType(T.BinaryType())), ("counts", T.ArrayType(T.LongType())), ("ids", T.ArrayType(id_type)), ("held_out", T.ArrayType(T.BooleanType())), ("sizes", T.ArrayType(T.LongType())), ("places", T.BinaryType())]
+    cuts = docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(cut, T.StructType([T.StructField(*f) for f in fields]))
+    chunks = scratch.write(cuts, "chunks")
+
+    def marginals(batches):
+        lattice = Lattice(data)
+        for batch in batches:
+            logs = [lattice.word(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], names=["word", "count", "log"])
+
+    summed = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("count"))
+    vocabulary = scratch.write(summed.mapInArrow(marginals, "word binary, count long, log double"), "vocabulary", slim=True)
+    train, distinct = vocabulary.agg(F.sum("count"), F.count_if(F.col("count") > 0)).first()
+    train = train or 0
 
     def score(key, left, right):
         import numpy as np
-
-        place, counts, logs = {}, [], []
-        for words, c, log in zip(right["words"], right["counts"], right["logs"], strict=True):
-            for w in words.as_py().split(b" "):
-                place[w] = len(place)
-            counts.append(np.frombuffer(c.as_py(), np.int64))
-            logs.append(np.frombuffer(log.as_py(), np.float64))
-        out = {"n_tokens": [], "n_known": [], "base_score": [], "score": [], "lattice_score": []}
-        if place:
-            c, log = np.concatenate(counts), np.concatenate(logs)
-            base = np.log10((c + 0.1) / (train + 0.1 * (distinct + 1)))
-            mixed = np.log10((c + distinct * np.exp(log)) / (train + distinct)) if train else log / math.log(10)
-            # a marginal too small for a float is taken by its log
-            mixed = np.where(np.isfinite(mixed), mixed, log / math.log(10) + math.log10(max(1, distinct) / max(1, train + distinct)))
-            alone = log / math.log(10)
-            for text in left["text"]:
-                at = np.fromiter(map(place.__getitem__, tokens(text.as_py())), np.int64)
-                out["n_tokens"].append(len(at))
-                out["n_known"].append(int((c[at] > 0).sum()))
-                for name, values in (("base_score", base), ("score", mixed), ("lattice_score", alone)):
-                    out[name].append(float(values[at].sum()))
-        types = {"n_tokens": pa.int64(), "n_known": pa.int64()}
-        own = {k: pa.array(v, types.get(k, pa.float64())) for k, v in out.items()}
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "train_tokens": pa.array([train] * left.num_rows, pa.int64())} | own)
-
-    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("train_tokens", "n_tokens", "n_known")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "lattice_score"))]
-    scored = dealt.groupBy("chunk").cogroup(answers.select("chunk", "words", "counts", "logs").groupBy("chunk")).applyInArrow(score, T.StructType(fields))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
+        import zstandard
+
+        order = np.argsort(right["pos"].to_numpy())
+        c, log = right["count"].to_numpy()[order], right["log"].to_numpy()[order]
+        base = np.log10((c + 0.1) / (train + 0.1 * (distinct + 1)))
+        alone = log / math.log(10)
+        mixed = np.log10((c + distinct * np.exp(log)) / (train + distinct)) if train else alone
+        # a marginal too small for a float is taken by its log
+        mixed = np.where(np.isfinite(mixed), mixed, alone + math.log10(max(1, distinct) / max(1, train + distinct)))
+        one = lambda name: left[name].combine_chunks().flatten()
+        sizes = one("sizes").to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        every = np.frombuffer(zstandard.decompress(left["places"][0].as_py()), np.uint32)
+        out = {"doc_id": one("ids"), "held_out": one("held_out"), "n_tokens": pa.array(sizes), "n_known": pa.array(np.add.reduceat((c > 0)[every], starts, dtype=np.int64)), "train_tokens": pa.array(np.full(len(sizes), train, np.int64))}
+        return pa.table(out | {name: pa.array(np.add.reduceat(values[every], starts)) for name, values in (("base_score", base), ("score", alone), ("mixed_score", mixed))})
+
+    # both sides of the join are plain shuffles, so that Spark may divide a word that all chunks have
+    asked = chunks.select(F.col("chunk").alias("asker"), F.posexplode("words").alias("pos", "word"))
+    answers = asked.join(vocabulary.hint("merge"), "word").select("asker", "pos", "count", "log")
+    fields = [T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "mixed_score"))]
+    own = chunks.select("chunk", "ids", "held_out", "sizes", "places")
+    return own.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(score, T.StructType(fields))

@@ -21,6 +21,8 @@ DOMAINS = {"web": [f"src{i}" for i in range(5)], "books": [f"src{i}" for i in ra
 WEIGHTS = {"domain": {"web": 50, "books": 20, "code": 15, "reference": 15, "other": 5}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 6}}
 MAX_EPOCHS = 4
 SEED = 17
+#: Digits of the order's key that the parts of a leaf share: 256 parts of a leaf, and 4096 of one of these.
+DIGITS = (2, 3)
 #: Leaves beyond which the leaf table is joined by shuffle instead of broadcast.
 BROADCAST_LEAVES = 100_000
 
@@ -43,18 +45,23 @@ def n_tokens(text: Column) -> Column:
 def deal(nodes: DataFrame, parent: list[str], node: str, budget: str) -> DataFrame:
     """Adds ``share``: the part of ``budget`` that each node gets among its siblings (cap, weight; whole numbers).
 
-    In the order of cap/weight the nodes that are filled come first.  own is
-    what a unit of weight gets once those before a node are filled; the first
-    node that isn't filled has the level that holds for all after it.
+    In the order of cap/weight the nodes that are filled come first: those whose
+    cap is within their part of what is left by the ones before.  The rest is
+    dealt to the others by weight, rounded down at each running sum of weights,
+    so that no token of it is lost.
     """
     siblings = Window.partitionBy(*parent)
-    before = siblings.orderBy(F.col("cap") / F.col("weight"), node).rowsBetween(Window.unboundedPreceding, -1)
+    order = siblings.orderBy(F.col("cap") / F.col("weight"), node)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     spent, used = (F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("cap", "weight"))
-    own = (F.col(budget) - spent) / (F.sum("weight").over(siblings) - used)
-    full = F.col("cap") <= F.col("own") * F.col("weight")
-    level = F.max(F.when(~full, F.col("own"))).over(siblings)
-    shared = nodes.withColumn("own", own).withColumn("level", level)
-    return shared.withColumn("share", F.when(full, F.col("cap")).otherwise(F.floor(F.col("level") * F.col("weight")))).drop("own", "level")
+    full = F.col("cap") * (F.sum("weight").over(siblings) - used) <= (F.col(budget) - spent) * F.col("weight")
+    shared = nodes.withColumn("full", full)
+    open_weight = F.when(F.col("full"), 0).otherwise(F.col("weight"))
+    left = F.col(budget) - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(siblings), F.lit(0))
+    upto = F.sum(open_weight).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    shared = shared.withColumn("left", left).withColumn("upto", upto).withColumn("open_weight", F.sum(open_weight).over(siblings))
+    share = F.expr("(left * upto) div open_weight - (left * (upto - weight)) div open_weight")
+    return shared.withColumn("share", F.when(F.col("full"), F.col("cap")).otherwise(share)).drop("full", "left", "upto", "open_weight")
 
 
 def leaf_plan(leaves: DataFrame, budget: int | None, max_epochs: int, weights: dict[str, dict[str, int]]) -> DataFrame:
@@ -86,7 +93,8 @@ def mix(docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS
     are leaves of their own, named ''.  A null text has no token.  Documents of
     a leaf without any token are taken once.  Rows that repeat a doc_id stand
     next to each other in the order and count each.  No text shuffles, but for
-    the rows of one part in 4096 of each leaf, in which the prefix ends.
+    the rows of one part in a million of each leaf, in which the prefix ends:
+    it is looked for in two steps, so that no task sums up more than 4096 parts.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     named = ["domain", "n_tokens", "leaf_budget", "copies"]
@@ -99,12 +107,16 @@ def mix(docs: DataFrame, budget: int | None = None, max_epochs: int = MAX_EPOCHS
     hint = F.broadcast if plan.count() <= BROADCAST_LEAVES else (lambda x: x)
 
     key = order_key(seed, F.col("epochs"), F.col("doc_id"))
-    part = F.substring("key", 1, 3)
-    parts = slim.join(hint(plan), LEAF).withColumn("key", key).groupBy(*LEAF, part.alias("part")).agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"))
-    upto = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-    parts = parts.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
-    ends = parts.groupBy(*LEAF).agg(F.min_by(F.struct("part", (F.col("upto") - F.col("n")).alias("start")), "part").alias("end"))
-    plan = scratch.write(plan.join(ends, LEAF, "left").select(*LEAF, "leaf_budget", "epochs", "rest", "end.part", "end.start"), "ends", slim=True)
+    part = F.substring("key", 1, sum(DIGITS))
+    plan = plan.withColumns({"part": F.lit(""), "start": F.lit(0).cast("long")})
+    for i, digits in enumerate(DIGITS):
+        inside = slim.join(hint(plan), LEAF).withColumn("key", key).where(F.startswith("key", "part"))
+        parts = inside.groupBy(*LEAF, F.substring("key", 1, sum(DIGITS[: i + 1])).alias("next")).agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"), F.max("start").alias("start"))
+        upto = F.col("start") + F.sum("n").over(Window.partitionBy(*LEAF).orderBy("next").rowsBetween(Window.unboundedPreceding, 0))
+        parts = parts.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
+        ends = parts.groupBy(*LEAF).agg(F.min_by(F.struct("next", (F.col("upto") - F.col("n")).alias("start")), "next").alias("end"))
+        plan = plan.drop("part", "start").join(ends, LEAF, "left").select(*LEAF, "leaf_budget", "epochs", "rest", F.col("end.next").alias("part"), "end.start")
+        plan = scratch.write(plan, f"ends_{i}", slim=True)
 
     dealt = tagged.join(hint(plan), LEAF).withColumn("key", key).withColumn("own", part)
     clear = dealt.where(~F.col("own").eqNullSafe(F.col("part")))
@@ -123,10 +135,11 @@ def _sql_case(column: str, pairs: dict, default) -> str:
 
 def _sql_deal(name: str, source: str, parent: str, node: str, budget: str) -> str:
     return f"""
-{name}_1 AS (SELECT *, ({budget} - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) OVER b, 0))::DOUBLE AS own
+{name}_1 AS (SELECT *, cap * (sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) OVER b, 0)) <= ({budget} - coalesce(sum(cap) OVER b, 0)) * weight AS filled
   FROM {source} WINDOW b AS (PARTITION BY {parent} ORDER BY cap / weight, {node} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-{name}_2 AS (SELECT *, max(CASE WHEN cap > own * weight THEN own END) OVER (PARTITION BY {parent}) AS level FROM {name}_1),
-{name} AS (SELECT *, CASE WHEN cap <= own * weight THEN cap ELSE floor(level * weight)::BIGINT END AS share FROM {name}_2)"""
+{name}_2 AS (SELECT *, {budget} - coalesce(sum(cap) FILTER (filled) OVER (PARTITION BY {parent}), 0) AS remains, sum(weight) FILTER (NOT filled) OVER (PARTITION BY {parent}) AS open_weight,
+  sum(weight) FILTER (NOT filled) OVER (PARTITION BY {parent} ORDER BY cap / weight, {node} ROWS UNBOUNDED PRECEDING) AS upto FROM {name}_1),
+{name} AS (SELECT *, CASE WHEN filled THEN cap ELSE ((remains * upto) // open_weight - (remains * (upto - weight)) // open_weight)::BIGINT END AS share FROM {name}_2)"""
 
 
 ORACLE = f"""

@@ -3,8 +3,10 @@
 Words and pairs of neighbouring words are hashed into ``buckets``.  Two
 multinomials over the buckets are counted: the raw one over all documents, the
 target one over trusted documents.  A document's score is the mean, over its
-n-grams, of log p_target - log p_raw; a document at or above ``threshold``
-passes.  No document is drawn by chance: the same corpus gives the same verdict.
+n-grams, of log p_target - log p_raw; a document at or above a threshold
+passes.  The threshold is the one that parts labelled documents best that no
+count has trusted.  No document is drawn by chance: the same corpus and labels
+give the same verdict.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from .common import SPACE, Scratch, let, words
 
 #: Buckets of hashed n-grams; the model is as many numbers, whatever the corpus.
 BUCKETS = 10_000
-#: Mean log ratio an n-gram below which a document is not like the trusted ones.
-THRESHOLD = -0.04
 #: Trusted documents are a sample of at most so many documents labelled good, those with the smallest hash of their id.
 TRUSTED = 4_000
+#: The threshold is fitted on at most so many documents of each label, the good ones among one in HELD_OUT that are never trusted.
+FITTED, HELD_OUT = 2_000, 3
 #: N-grams a bucket added to both counts.
 SMOOTHING = 1.0
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -68,9 +70,34 @@ def base_columns(text: Column, w: Column) -> dict[str, Column]:
     }
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumn("trusted", F.lit(1))
+def labelled_ids(labels: DataFrame, limit: int = TRUSTED, fitted: int = FITTED) -> DataFrame:
+    """(doc_id, quality, trusted): the sample of trusted documents, and those of each label that the threshold is fitted on, if any.
+
+    A document with both labels counts as bad.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    order = F.xxhash64("doc_id")
+    held = (F.pmod(order, F.lit(HELD_OUT)) == 0) & F.lit(fitted > 0)
+    first = lambda rows, n, trusted: known.where(rows).orderBy(order, "doc_id").limit(n).withColumn("trusted", F.lit(trusted))
+    good = F.col("quality") == 1
+    return first(good & ~held, limit, 1).union(first(good & held, fitted, 0)).union(first(~good, fitted, 0)).coalesce(1)
+
+
+def fitted_threshold(scores: list[tuple[float, int]]) -> float:
+    """Where (score, quality) part with the least sum of both error rates; of equals the lowest, half way between two scores.
+
+    Without a document of either label nothing can be told apart, and all pass.
+    """
+    scores = sorted(scores)
+    bad, good = sum(q == 0 for _, q in scores), sum(q == 1 for _, q in scores)
+    if not bad or not good:
+        return -math.inf
+    best, at, lost, left = bad * good, -math.inf, 0, bad
+    for k, (score, q) in enumerate(scores[:-1]):
+        lost, left = lost + q, left - (q == 0)
+        if scores[k + 1][0] > score and lost * bad + left * good < best:
+            best, at = lost * bad + left * good, (score + scores[k + 1][0]) / 2
+    return at
 
 
 def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
@@ -93,32 +120,41 @@ def log_ratios(counts: DataFrame, buckets: int, smoothing: float = SMOOTHING) ->
     return [math.log((t + extra * p) / ((total_target + extra) * p)) for t, p in zip(target, share, strict=True)]
 
 
-def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
+def mean_ratio(w: Column, model: Column, buckets: int) -> Column:
+    total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(model, b))
+    one, two = ngrams(w, buckets)
+    return (total(one) + total(two)) / F.greatest(2 * F.size(w) - 1, F.lit(1))
+
+
+def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = None, trusted: int = TRUSTED, fitted: int = FITTED) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
 
     Other columns pass through; input columns of these names are replaced.  A
     null text has no words and fails the base rules.  A document without
     n-grams has score 0.  Labels (doc_id, quality) that are null, absent or
     name no document trust nothing; without any trusted text every score is 0
-    and the base rules decide.  Rows that repeat a doc_id are judged each.
+    and the base rules decide, as they do where the threshold is to be fitted
+    and one label is missing.  Rows that repeat a doc_id are judged each.
     """
     spark = docs.sparkSession
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     docs = docs.drop(*names)
     # a written list: the same sample for every task that reads it
-    sample = Scratch(spark).write(trusted_ids(labels, trusted).coalesce(1), "trusted")
-    ratios = log_ratios(bucket_counts(docs.select("doc_id", "text"), sample, buckets), buckets)
+    sample = Scratch(spark).write(labelled_ids(labels, trusted, fitted if threshold is None else 0), "labelled")
+    ratios = log_ratios(bucket_counts(docs.select("doc_id", "text"), sample.where("trusted = 1").select("doc_id", "trusted"), buckets), buckets)
     model = F.lit(ratios).cast("array<double>")
+    if threshold is None:
+        fit = docs.select("doc_id", "text").join(F.broadcast(sample.where("trusted = 0")), "doc_id").select("quality", words(F.coalesce("text", F.lit(""))).alias("w"))
+        fit = fit.where(F.size("w") >= MIN_WORDS).select(mean_ratio(F.col("w"), model, buckets).alias("score"), "quality")
+        threshold = fitted_threshold([tuple(r) for r in fit.collect()])
 
     def measures(w: Column) -> Column:
         text = F.coalesce(F.col("text"), F.lit(""))
-        total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(model, b))
-        one, two = ngrams(w, buckets)
-        n = F.greatest(2 * F.size(w) - 1, F.lit(1))
         base = base_columns(text, w)
-        return F.struct(*(base[k].cast("long").alias(k) for k in names[:5]), ((total(one) + total(two)) / n).alias("score"))
+        return F.struct(*(base[k].cast("long").alias(k) for k in names[:5]), mean_ratio(w, model, buckets).alias("score"))
 
-    measured = docs.select(*docs.columns, let(words(F.coalesce(F.col("text"), F.lit(""))), measures).alias("measures"))
-    flat = measured.select(*docs.columns, "measures.*")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return flat.select(*docs.columns, *names[:5], failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept"))
+    measured = docs.select(F.struct("*").alias("row"), let(words(F.coalesce(F.col("text"), F.lit(""))), measures).alias("measures"))
+    own = [F.col("row")[c].alias(c) for c in docs.columns] + [F.col("measures")[c].alias(c) for c in (*names[:5], "score")]
+    n_words, n_repeat = F.col("measures.n_words"), F.col("measures.n_repeat_words")
+    failed = (n_words < MIN_WORDS) | (100 * n_repeat > REPEAT_PERCENT * n_words)
+    return measured.select(*own[:-1], failed.alias("base_failed"), own[-1], (~failed & (F.col("measures.score") >= threshold)).alias("kept"))

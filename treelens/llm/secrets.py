@@ -1,9 +1,9 @@
 """Secret scans: three patterns, and strings in a sensitive context that zstandard can't predict.
 
 Novelty: a candidate is a long token on the line of a sensitive word, a short
-distance behind it.  It is compressed by a compressor primed with a dictionary
-of common identifiers and the text before it; what it takes beyond an empty
-frame, per character, is its novelty.  Names and words that the surrounding
+distance behind it.  The text on both sides of it is compressed with it and
+without it, by a compressor primed with a dictionary of common identifiers;
+what it adds, in bytes a character, is its novelty.  Names and words that the surrounding
 code or the dictionary has add next to nothing; random keys add almost all of
 their characters.
 """
@@ -43,8 +43,6 @@ DISTANCE, LONG = 48, 12
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=~-]{12,}", re.ASCII)
 #: The name in name=value, which is one token by its characters.
 NAME = re.compile(r"[_.~=-]*(?:[A-Za-z_][A-Za-z0-9_.-]{0,39}=+)?(?=[A-Za-z0-9+/_.~-])", re.ASCII)
-#: Signs that bind a value to a name, and a scheme at most.
-BOUND = re.compile(r"""[^A-Za-z0-9]*[:=>][^A-Za-z0-9]*(?:(?i:bearer|basic|digest|token|apikey)\x20+)?["'(]*|["'\])]*\x20is\x20["'(]*""", re.ASCII)
 SIGNS = re.compile(r"[+/_.=~-]+")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+")
 #: The identifier dictionary that primes the compressor.
@@ -56,8 +54,8 @@ IDENTIFIERS = (
     "AWS_ACCESS_KEY_ID AWS_SECRET_ACCESS_KEY GITHUB_TOKEN DATABASE_PASSWORD SECRET_KEY undefined null None true false "
     "0123456789 00000000000000000000 1234567890123456 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ xxxxxxxxxxxxxxxx"
 ).encode()
-#: Characters of text before a candidate that the compressor sees.
-CONTEXT = 256
+#: Characters of text on either side of a candidate that the compressor sees, without the candidate's own repeats.
+CONTEXT = 2_048
 #: Compressed bytes a character from which a candidate is reported.
 NOVELTY = 0.6
 #: From so many characters on zstandard shortens small alphabets without finding any match; so much of their entropy is asked for instead.
@@ -78,14 +76,14 @@ class Novelty:
     def __init__(self, identifiers: bytes = IDENTIFIERS, level: int = 9):
         import zstandard
 
-        self.zstd, self.identifiers, self.level = zstandard, identifiers, level
+        primed = zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.zstd = zstandard.ZstdCompressor(level=level, dict_data=primed, write_checksum=False, write_content_size=False)
 
     def marginal(self, text: str, start: int, end: int) -> float:
-        """Compressed bytes a character that text[start:end] takes beyond an empty frame, behind the dictionary and the text before."""
-        before = text[max(0, start - CONTEXT) : start].encode("utf-8", "surrogatepass")
-        primed = self.zstd.ZstdCompressionDict(self.identifiers + b" " + before, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
-        compressor = self.zstd.ZstdCompressor(level=self.level, dict_data=primed, write_checksum=False, write_content_size=False)
-        return (len(compressor.compress(text[start:end].encode())) - len(compressor.compress(b""))) / max(1, end - start)
+        """Compressed bytes a character that text[start:end] adds to the text around it, behind the dictionary."""
+        own = text[start:end]
+        around = " ".join(side.replace(own, "") for side in (text[end : end + CONTEXT], text[max(0, start - CONTEXT) : start])).encode("utf-8", "surrogatepass")
+        return (len(self.zstd.compress(around + own.encode())) - len(self.zstd.compress(around))) / max(1, end - start)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -116,9 +114,9 @@ def plain(token: str) -> bool:
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of the values bound to a sensitive word, and of long tokens near any sensitive stem before them on the line.
 
-    Where only blanks or other words stand between, a token that is ``plain`` is none.
+    A token that is ``plain`` is none.
     """
-    found = {m.end(1): m.start(1) for m in SENSITIVE.finditer(text)}
+    found = {m.end(1): m.start(1) for m in SENSITIVE.finditer(text) if not plain(m[1])}
     near: dict[int, int] = {}
     last = 0  # the end of the last token, which many stems may be in or before
     for stem in STEM.finditer(text):
@@ -128,7 +126,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
             start = m.start()
             at = last = last if m.end() <= last else TOKEN.match(text, start).end()
             start = NAME.match(text, start, at).end() if at - NAME.match(text, start, at).end() >= LONG else start
-            if BOUND.fullmatch(text, after, start) or not plain(text[start:at]):
+            if not plain(text[start:at]):
                 near[at] = max(start, near.get(at, 0))
     return sorted((start, end) for end, start in (near | found).items())
 
