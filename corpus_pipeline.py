@@ -18,35 +18,63 @@ from treelens.llm.queries import piece_model
 SIMILAR, SIMILAR_MATCHES = 80, 14
 
 
+def packed(docs):
+    """(doc_id, text, rest): what no stage looks at is in one column, so that no name can clash with a stage's own."""
+    rest = [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("-"), *rest).alias("rest"))
+
+
+def unpacked(rows, docs):
+    """``rows`` with the columns of ``docs``."""
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
+
+
 def quality_rules(spark, docs, sf_dir):
-    """Documents that fail the base rules or are unlike the trusted ones go."""
-    judged = quality.quality(docs, table(spark, sf_dir, "labels"))
-    return judged.where("kept").select(*docs.columns)
+    """Documents that fail the base rules or are unlike the trusted ones go.
+
+    Null and short texts fail the base rules; rows that repeat an id are judged
+    each; without labels the base rules decide; an empty table stays empty.
+    """
+    return unpacked(quality.quality(packed(docs), table(spark, sf_dir, "labels")).where("kept"), docs)
 
 
 def common_lines(spark, docs, sf_dir):
-    """Lines that three documents or more share stay in one of them; n_chars follows the text."""
-    cut = line_dedup.line_dedup(docs)
-    return cut.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Lines that three documents or more share stay in one of them; n_chars, where there is one, follows the text.
+
+    Every row stays; a null text becomes an empty one.  Rows that repeat an id,
+    and all rows without one, count as one document.
+    """
+    cut = unpacked(line_dedup.line_dedup(packed(docs)), docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays; of rows without an id and with one text, one row."""
+    """One document of each group of near-duplicates stays; of rows without an id and with one text, one row.
+
+    Texts without a word are near nothing and stay.  Rows that repeat an id are
+    one document and stay or go together.
+    """
+    rows, docs = docs, packed(docs)
     kept = minhash.near_dedup(docs, percent=SIMILAR, matches=SIMILAR_MATCHES, with_key=True).where("kept")
     kept = kept.select(F.col("key").alias("kept_key"), F.col("doc_id").isNull().alias("nameless")).distinct()
     alone = F.col("doc_id").isNotNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]")
-    rows = docs.where(alone).unionByName(docs.where(~alone).dropDuplicates(["text"]))
-    return rows.join(kept, (minhash.key_of() == F.col("kept_key")) & (F.col("doc_id").isNull() == F.col("nameless")), "left_semi")
+    once = docs.where(alone).unionByName(docs.where(~alone).dropDuplicates(["text"]))
+    return unpacked(once.join(kept, (minhash.key_of() == F.col("kept_key")) & (F.col("doc_id").isNull() == F.col("nameless")), "left_semi"), rows)
 
 
 def mixed(spark, docs, sf_dir):
-    """Each document as many times as epochs of its leaf take it."""
-    dealt = mixing.mix(docs).where("copies > 0")
-    return dealt.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as many times as epochs of its leaf take it.
+
+    Null languages and sources are leaves of their own; a null text has no
+    token and is taken with the whole epochs of its leaf.
+    """
+    own = packed(docs).withColumns({c: F.col("rest")[c] for c in ("lang", "source")})
+    dealt = mixing.mix(own).where("copies > 0")
+    return unpacked(dealt.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs)
 
 
 def token_ids(spark, docs, sf_dir):
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of every row; a null text has the end id only."""
     return pieces.tokenize(docs, piece_model())
 
 
