@@ -30,18 +30,34 @@ def text_of(content: bytes | None) -> str | None:
     return content.decode("latin-1")
 
 
-def decoded(manifests: DataFrame) -> DataFrame:
-    """``manifests`` with text; a manifest is small, and one row a project and kind goes through Python."""
+def tool_keys(text: str | None) -> list[str] | None:
+    """The keys under [tool]; None for what isn't TOML."""
+    try:
+        tool = tomllib.loads(text or "").get("tool", {})
+    except (tomllib.TOMLDecodeError, RecursionError):
+        return None
+    return list(tool) if isinstance(tool, dict) else []
+
+
+def _read(manifests: DataFrame, column: str, text) -> DataFrame:
+    """``manifests`` with text and tools (of pyproject.toml), in one Arrow pass over ``column``."""
+    names = ["project_id", "seq", "path", "name"]
 
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = pa.array([text_of(c.as_py()) for c in batch.column("content")], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("project_id", "seq", "path", "name")), texts], names=["project_id", "seq", "path", "name", "text"])
+            texts = [text(v.as_py()) for v in batch.column(column)]
+            tools = [tool_keys(t) if n == "pyproject.toml" and t is not None else None for n, t in zip(batch.column("name").to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), pa.array(tools, pa.list_(pa.string()))], names=[*names, "text", "tools"])
+
+    seq = manifests.schema["seq"].dataType.simpleString()
+    return manifests.select(*names, column).mapInArrow(work, f"project_id string, seq {seq}, path string, name string, text string, tools array<string>")
+
 
-    rows = manifests.select("project_id", F.col("seq").cast("long").alias("seq"), "path", "name", F.col("content").cast("binary").alias("content"))
-    return rows.mapInArrow(work, "project_id string, seq long, path string, name string, text string").where("text is not null")
+def decoded(manifests: DataFrame) -> DataFrame:
+    """``manifests`` with text and tools; those that are gone drop out."""
+    return _read(manifests.withColumn("content", F.col("content").cast("binary")), "content", text_of).where("text is not null")
 
 
 def requirement_packages(manifests: DataFrame) -> DataFrame:
@@ -61,22 +77,11 @@ def frameworks_of(packages: DataFrame, table: dict[str, str]) -> DataFrame:
     return packages.join(F.broadcast(rules), "package").select("project_id", "framework").distinct()
 
 
-def toml_tools(text: Column) -> Column:
-    """The keys under [tool]; null for what isn't TOML."""
-
-    def keys(value: str | None) -> list[str] | None:
-        try:
-            tool = tomllib.loads(value or "").get("tool", {})
-        except (tomllib.TOMLDecodeError, RecursionError):
-            return None
-        return list(tool) if isinstance(tool, dict) else []
-
-    return F.udf(keys, "array<string>")(text)
-
-
 def pyproject_tools(manifests: DataFrame) -> DataFrame:
     """(project_id, seq, path, tools)."""
-    return manifests.where("name = 'pyproject.toml'").select("project_id", "seq", "path", toml_tools(F.col("text")).alias("tools"))
+    own = manifests.where("name = 'pyproject.toml'")
+    own = own if "tools" in manifests.columns else _read(own, "text", lambda text: text)
+    return own.select("project_id", "seq", "path", "tools")
 
 
 def package_json(manifests: DataFrame) -> DataFrame:
@@ -111,9 +116,10 @@ def scalars(config: DataFrame, manifests: DataFrame) -> DataFrame:
     config: the config files of the listing; a listed file that is gone still
     sets the default of its kind.
     """
-    value = lambda rows, kind, n, v: rows.select("project_id", F.lit(kind).alias("kind"), F.col("seq").cast("long").alias("seq"), F.lit(n).alias("n"), v.alias("value"))
-    first = F.lit(-1).cast("long")
-    listed = lambda name, kind, v: value(config.where(F.col("name") == name).withColumn("seq", first), kind, 0, F.lit(v))
+    value = lambda rows, kind, n, v, seq=F.col("seq"): rows.select("project_id", F.lit(kind).alias("kind"), seq.alias("seq"), F.lit(n).alias("n"), v.alias("value"))
+    # the default of a kind comes before all that its files say
+    first = F.lit(None).cast(manifests.schema["seq"].dataType)
+    listed = lambda name, kind, v: value(config.where(F.col("name") == name), kind, 0, F.lit(v), first)
     npm = package_json(manifests)
     managers = (
         listed("requirements.txt", REQUIREMENTS, "pip")
@@ -122,7 +128,7 @@ def scalars(config: DataFrame, manifests: DataFrame) -> DataFrame:
         .union(value(npm, PACKAGE, 1, package_manager(F.col("package_manager"))))
     )
     builds = value(npm, PACKAGE, 2, build_system(F.col("packages")))
-    last = lambda rows, name: rows.where("value is not null").groupBy("project_id").agg(F.max_by("value", F.struct("kind", "seq", "n")).alias(name))
+    last = lambda rows, name: rows.where("value is not null").groupBy("project_id").agg(F.max_by("value", F.struct("kind", F.col("seq").isNotNull(), "seq", "n")).alias(name))
     return last(managers, "package_managers").join(last(builds, "build_systems"), "project_id", "full")
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import SYMBOL_PRIORITY
-from .pyast import rows_of
 
 
 def resolve_modules(imports: DataFrame, modules: DataFrame) -> DataFrame:
@@ -21,9 +20,10 @@ def resolve_modules(imports: DataFrame, modules: DataFrame) -> DataFrame:
 def symbol_table(parsed: DataFrame) -> DataFrame:
     """(project_id, path, name, type): of symbols with one name in a file the class, else the function, else the variable."""
     kinds = {"classes": "class", "functions": "function", "variables": "variable"}
-    rows = [rows_of(parsed, k).select("project_id", "path", "name", F.lit(t).alias("type"), F.lit(SYMBOL_PRIORITY[t]).alias("prio")) for k, t in kinds.items()]
-    both = rows[0].union(rows[1]).union(rows[2])
-    return both.groupBy("project_id", "path", "name").agg(F.min_by("type", "prio").alias("type"))
+    # one explode of all three lists, so that files are parsed once
+    of = lambda k, t: F.transform(k, lambda x: F.struct(x["name"].alias("name"), F.lit(t).alias("type"), F.lit(SYMBOL_PRIORITY[t]).alias("prio")))
+    both = parsed.select("project_id", "path", F.explode(F.concat(*(of(k, t) for k, t in kinds.items()))).alias("s"))
+    return both.groupBy("project_id", "path", F.col("s.name").alias("name")).agg(F.min_by("s.type", "s.prio").alias("type"))
 
 
 def resolve_symbols(resolved: DataFrame, table: DataFrame) -> DataFrame:

@@ -31,14 +31,23 @@ def as_map(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
 
 
 def python_round(value: Column) -> Column:
-    """value to two places as Python's round does it: by the exact binary value, ties to even."""
-    # an exact decimal of the double, which neither of Spark's rounding functions starts from
-    exact = F.udf(lambda v: None if v is None else round(v, 2), "double")
-    return exact(value)
+    """value to two places as Python's round does it: by the exact binary value, ties to even.
+
+    100 * value is p + e without error: the halves of value have few enough bits
+    for exact products.  From 2**45 on a double has no third place that counts.
+    """
+    split = value * F.lit(134217729.0)
+    high = split - (split - value)
+    p = value * 100
+    e = (high * 100 - p) + (value - high) * 100
+    whole = F.floor(p).cast("double")
+    over = (p - whole) - 0.5
+    up = F.when(over > -e, 1).when(over == -e, F.pmod(whole, F.lit(2.0))).otherwise(0)
+    return F.when(F.abs(value) >= F.lit(2.0**45), value).otherwise((whole + up) / 100)
 
 
 def average_file_size(totals: DataFrame, rounded: bool = True) -> DataFrame:
-    """``totals`` with average_file_size; 0 without files.  One row a project goes through Python for the rounding."""
+    """``totals`` with average_file_size; 0 without files."""
     mean = F.coalesce(F.try_divide(F.col("total_size").cast("double"), F.col("total_files").cast("double")), F.lit(0.0))
     return totals.withColumn("average_file_size", python_round(mean) if rounded else mean)
 

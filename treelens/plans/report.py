@@ -1,8 +1,9 @@
-"""Reports of a scan, for people; they collect what they print, a project's summary tables."""
+"""Reports of a scan, as rows and as texts for people."""
 
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,25 +42,49 @@ def symbol_listing(catalog: Catalog) -> str:
     return "\n".join(lines)
 
 
+#: Sections of a report, with what stands in one that is empty.
+SECTIONS = {"Statistics": "None", "Frameworks": "None", "Git": "None", "Languages": "No languages", "Source roots": "No source roots", "Modules": "No Python modules", "Dependencies": "No dependency information", "Symbols": "No symbols"}
+
+
+def report_lines(catalog: Catalog) -> DataFrame:
+    """(project_id, section, ord, line): the lines of every project's report, as rows; ord is the order within a section."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    lines = lambda df, n, key, line: df.select("project_id", F.lit(n).alias("section"), key.cast("string").alias("ord"), line.alias("line"))
+
+    def fields(df: DataFrame, n: int) -> DataFrame:
+        """A line for each column of a table with one row a project."""
+        own = [c for c in df.columns if c != "project_id"]
+        pairs = df.select("project_id", F.posexplode(F.array(*(F.concat(F.lit(f"{c}: "), text(c)) for c in own))).alias("k", "line"))
+        return lines(pairs, n, F.lpad(F.col("k").cast("string"), 3, "0"), F.col("line"))
+
+    rank, names = F.lpad(F.col("rank").cast("string"), 9, "0"), F.array_join("deps", ", ")
+    root = F.concat_ws(" ", F.when(F.col("path") == "", ".").otherwise(F.col("path")), text("score"), text("language"), F.array_join("reasons", ", "))
+    counts = F.concat_ws(" ", "path", *(x for c in ("imports", "classes", "functions", "variables") for x in (F.lit(c), F.col(f"n_{c}"))))
+    parts = [
+        *(fields(df, n) for n, df in enumerate((catalog.statistics, catalog.frameworks, catalog.git))),
+        lines(catalog.languages, 3, F.col("language"), F.concat(F.rpad("language", 20, " "), F.lit(" "), text("n"))),
+        lines(catalog.source_roots, 4, rank, root),
+        lines(catalog.module_index, 5, F.col("module"), F.concat("module", F.lit(" -> "), "path")),
+        lines(catalog.parsed, 6, F.col("path"), F.concat("path", F.lit(": "), F.when(names == "", "(none)").otherwise(names))),
+        lines(pyast.symbol_counts(catalog.parsed), 7, F.col("path"), counts),
+    ]
+    found = reduce(DataFrame.unionByName, parts)
+    every = catalog.projects.select("project_id", F.posexplode(F.array(*map(F.lit, SECTIONS.values()))).alias("section", "line"))
+    empty = every.join(found.select("project_id", "section").distinct(), ["project_id", "section"], "left_anti")
+    return found.unionByName(empty.select("project_id", "section", F.lit("").alias("ord"), "line"))
+
+
 def text_report(catalog: Catalog) -> str:
-    """Statistics, languages, frameworks, git, source roots, modules, dependencies and symbol counts of every project."""
-    out: list[str] = []
-
-    def section(title: str, lines: list[str], empty: str) -> None:
-        out.extend([f"== {title} ==", *(lines or [empty])])
-
-    for p in catalog.projects.orderBy("root_path").collect():
-        own = lambda df: df.where(F.col("project_id") == p.project_id)  # noqa: B023, E731
-        out.append(f"# {p.project_name} ({p.root_path})")
-        for title, df in (("Statistics", catalog.statistics), ("Frameworks", catalog.frameworks), ("Git", catalog.git)):
-            section(title, [f"{k}: {v}" for r in own(df).collect() for k, v in r.asDict().items() if k != "project_id"], "None")
-        section("Languages", [f"{r.language:<20} {r.n}" for r in own(catalog.languages).orderBy("language").collect()], "No languages")
-        section("Source roots", [f"{r.path or '.'} {r.score} {r.language} {', '.join(r.reasons)}" for r in own(catalog.source_roots).orderBy("rank").collect()], "No source roots")
-        section("Modules", [f"{r.module} -> {r.path}" for r in own(catalog.module_index).orderBy("module").collect()], "No Python modules")
-        parsed = own(catalog.parsed).orderBy("path")
-        section("Dependencies", [f"{r.path}: {', '.join(r.deps) or '(none)'}" for r in parsed.select("path", "deps").collect()], "No dependency information")
-        counts = own(pyast.symbol_counts(catalog.parsed)).orderBy("path").collect()
-        section("Symbols", [f"{r.path} imports {r.n_imports} classes {r.n_classes} functions {r.n_functions} variables {r.n_variables}" for r in counts], "No symbols")
+    """The report of every project, for people; lines come sorted, part by part."""
+    out, last, titles = [], (None, None), list(SECTIONS)
+    rows = report_lines(catalog).join(catalog.projects, "project_id").orderBy("root_path", "section", "ord", "line")
+    for r in rows.toLocalIterator():
+        if r.root_path != last[0]:
+            out.append(f"# {r.project_name} ({r.root_path})")
+        if (r.root_path, r.section) != last:
+            out.append(f"== {titles[r.section]} ==")
+        last = (r.root_path, r.section)
+        out.append(r.line)
     return "\n".join(out)
 
 

@@ -28,19 +28,20 @@ class Catalog:
     include_files: bool = True
     time_zone: str = "GMT"
     rules: Rules = DEFAULT
+    keep: bool = True
 
     def _read(self, name: str, **options) -> DataFrame:
         return self.spark.read.format(name).options(paths=json.dumps(self.paths), **options).load()
 
-    def persist(self) -> Catalog:
-        """Keeps what several tables are made of, for a catalog that is asked more than once."""
-        for name in ("listed", "parsed", "source_roots"):
-            getattr(self, name).persist()
-        return self
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        """Kept, on disk where memory is short, for the tables that are made of it; a lost part is read again."""
+        return rows.persist() if self.keep else rows
 
     def unpersist(self) -> None:
-        for name in ("listed", "parsed", "source_roots"):
-            getattr(self, name).unpersist()
+        """Frees what is kept."""
+        for rows in self.__dict__.values():
+            if isinstance(rows, DataFrame):
+                rows.unpersist()
 
     @cached_property
     def projects(self) -> DataFrame:
@@ -53,59 +54,81 @@ class Catalog:
 
     @cached_property
     def listed(self) -> DataFrame:
-        return self._read("project_tree", ruleset="scan")
+        return self._kept(self._read("project_tree", ruleset="scan", ignore_dirs=json.dumps(self.rules.scan_ignore_dirs)))
 
     @cached_property
-    def all_files(self) -> DataFrame:
-        """Visible files, as statistics count them; seq follows the bytes of the path."""
-        seen = listing.visible_files(self.listed.where("not is_dir"), self.rules)
+    def tree(self) -> DataFrame:
+        """The listing for roots, which leaves out other directories."""
+        return self._kept(self._read("project_tree", ruleset="roots", ignore_dirs=json.dumps(self.rules.root_ignore_dirs)))
+
+    @cached_property
+    def seen(self) -> DataFrame:
+        """Visible files, as statistics count them; seq, which first and last go by, is the path itself."""
+        return listing.visible_files(self.listed.where("not is_dir"), self.rules).withColumn("seq", F.col("path"))
+
+    @cached_property
+    def wanted(self) -> DataFrame:
+        """Visible files, as indexes have them."""
+        return self.seen if self.include_files else self.seen.where("false")
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
         seq = F.row_number().over(Window.partitionBy("project_id").orderBy("path")).cast("long")
         zone = stats.zone_offset(self.time_zone)
-        return seen.select(
+        return rows.select(
             "project_id", seq.alias("seq"), "path", "name", "parent", "depth", "extension", "size",
             F.col("mtime").alias("modified_time"), F.col("ctime").alias("created_time"), F.lit(zone).alias("zone"), "is_hidden",
         )
 
+    @cached_property
+    def all_files(self) -> DataFrame:
+        """Visible files, numbered in the order of the bytes of their paths."""
+        return self._numbered(self.seen)
+
     @cached_property
     def files(self) -> DataFrame:
-        return self.all_files if self.include_files else self.all_files.where("false")
+        return self._numbered(self.wanted)
 
     @cached_property
     def dirs(self) -> DataFrame:
-        own = self.listed.where("is_dir and path <> ''").select("project_id", "path")
+        own = listing.visible_directories(self.listed.where("is_dir").select("project_id", "path"), self.rules)
         return own.withColumns({"name": paths.name(F.col("path")), "depth": paths.depth(F.col("path"))})
 
     @cached_property
     def statistics(self) -> DataFrame:
-        totals = stats.project_totals(self.all_files, self.dirs)
+        totals = stats.project_totals(self.seen, self.dirs)
         zero = {c: F.coalesce(c, F.lit(0)) for c in totals.columns if c != "project_id"}
         totals = self.projects.select("project_id").join(totals, "project_id", "left").withColumns(zero)
-        extensions = stats.as_map(stats.extension_histogram(self.all_files), "extension", "n", "extensions")
+        extensions = stats.as_map(stats.extension_histogram(self.seen), "extension", "n", "extensions")
         return stats.average_file_size(totals).join(extensions, "project_id", "left")
 
     @cached_property
     def languages(self) -> DataFrame:
-        return stats.language_rollup(stats.extension_histogram(self.all_files), self.rules)
+        return stats.language_rollup(stats.extension_histogram(self.seen), self.rules)
 
     @cached_property
     def source_roots(self) -> DataFrame:
-        tree = self._read("project_tree", ruleset="roots")
-        scores = roots.root_scores(tree.where("not is_dir"), tree.where("is_dir"), self.projects, self.rules)
-        return roots.source_roots(scores, self.projects, self.rules)
+        scores = roots.root_scores(self.tree.where("not is_dir"), self.tree.where("is_dir"), self.projects, self.rules)
+        return self._kept(roots.source_roots(scores, self.projects, self.rules))
 
     @cached_property
     def config_files(self) -> DataFrame:
-        return index.config_files(self.files, self.rules)
+        return index.config_files(self.wanted, self.rules)
 
     @cached_property
     def module_index(self) -> DataFrame:
-        return index.module_index(self.files, self.source_roots)
+        return index.module_index(self.wanted, self.source_roots)
+
+    def _contents(self, **wanted) -> DataFrame:
+        """(project_id, path, content) of visible files; the source itself applies the rules, so that no content meets a join."""
+        rules = {"ignore_dirs": self.rules.scan_ignore_dirs, "ignore_files": self.rules.scan_ignore_files, "supported": self.rules.supported_extensions}
+        rows = self._read("project_contents", ruleset="scan", **{k: json.dumps(v) for k, v in rules.items()}, **wanted)
+        return rows if self.include_files else rows.where("false")
 
     @cached_property
     def manifests(self) -> DataFrame:
-        content = self._read("project_contents", ruleset="scan", names=json.dumps(MANIFESTS))
-        wanted = self.config_files.where(F.col("name").isin(*MANIFESTS)).select("project_id", "seq", "path", "name")
-        return manifests.decoded(wanted.join(content, ["project_id", "path"]))
+        known = [n for n in MANIFESTS if n in self.rules.known_config_files]
+        content = self._contents(names=json.dumps(known)).withColumns({"name": paths.name(F.col("path")), "seq": F.col("path")})
+        return self._kept(manifests.decoded(content))
 
     @cached_property
     def frameworks(self) -> DataFrame:
@@ -113,7 +136,7 @@ class Catalog:
         flags = manifests.framework_flags(self.manifests, self.rules).groupBy("project_id")
         flags = flags.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("framework", F.lit(True))))).alias("frameworks"))
         joined = self.projects.select("project_id").join(flags, "project_id", "left")
-        for part in (manifests.scalars(self.config_files, self.manifests), manifests.containerization(self.config_files), manifests.ci_cd(index.directories(self.files))):
+        for part in (manifests.scalars(self.config_files, self.manifests), manifests.containerization(self.config_files), manifests.ci_cd(index.directories(self.wanted))):
             joined = joined.join(part, "project_id", "left")
         none = F.array().cast("array<string>")
         return joined.select(
@@ -123,13 +146,12 @@ class Catalog:
 
     @cached_property
     def git(self) -> DataFrame:
-        return git.git_statistics(self._read("git_facts"), self._read("git_commits"), self._read("git_remotes"), self._read("git_tags"))
+        return self._kept(git.git_statistics(self._read("git_facts"), self._read("git_commits"), self._read("git_remotes"), self._read("git_tags")))
 
     @cached_property
     def parsed(self) -> DataFrame:
         """Symbols and imported modules of each Python file; files are parsed once for both."""
-        content = self._read("project_contents", ruleset="scan", extensions=json.dumps([".py"]))
-        return pyast.symbols(listing.python_files(self.files).select("project_id", "path").join(content, ["project_id", "path"]))
+        return self._kept(pyast.symbols(self._contents(extensions=json.dumps([".py"]))))
 
     @cached_property
     def dependencies(self) -> DataFrame:
@@ -161,11 +183,15 @@ class Catalog:
         return joined
 
 
-def scan(spark: SparkSession, path: str | list[str], include_files: bool = True, time_zone: str = "GMT", rules: Rules = DEFAULT) -> Catalog:
-    """The catalog of a project, or of several.  A missing path, a path that is no directory and an unknown zone are errors at once."""
+def scan(spark: SparkSession, path: str | list[str], include_files: bool = True, time_zone: str = "GMT", rules: Rules = DEFAULT, keep: bool = True) -> Catalog:
+    """The catalog of a project, or of several.  A missing path, a path that is no directory and an unknown zone are errors at once.
+
+    keep: whether listings, parsed sources and other tables that several tables
+    are made of are kept until ``unpersist``; else each table reads them again.
+    """
     stats.zone_offset(time_zone)
     found = [path] if isinstance(path, str | Path) else list(path)
     for p in found:
         resolve_root(str(p))
     sources.register(spark)
-    return Catalog(spark, [str(p) for p in found], include_files, time_zone, rules)
+    return Catalog(spark, [str(p) for p in found], include_files, time_zone, rules, keep)

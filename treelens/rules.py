@@ -11,25 +11,23 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 # Names, extensions and labels, in the order in which they are documented.
-SCAN_IGNORE_DIRS = tuple(".git .github .idea .vscode .venv venv __pycache__ node_modules dist build .next .pytest_cache .mypy_cache".split())
-SCAN_IGNORE_FILES = tuple(".DS_Store Thumbs.db .env .env.local .env.production .env.development .gitignore .coverage".split())
-SUPPORTED_EXTENSIONS = tuple(".py .js .jsx .ts .tsx .java .cpp .c .cs .go .rs .php .rb .swift .kt .json .yaml .yml .toml .xml .html .css .scss .md .txt".split())
+SCAN_IGNORE_DIRS = (".git", ".github", ".idea", ".vscode", ".venv", "venv", "__pycache__", "node_modules", "dist", "build", ".next", ".pytest_cache", ".mypy_cache")
+SCAN_IGNORE_FILES = (".DS_Store", "Thumbs.db", ".env", ".env.local", ".env.production", ".env.development", ".gitignore", ".coverage")
+SUPPORTED_EXTENSIONS = (".py", ".js", ".jsx", ".ts", ".tsx", ".java", ".cpp", ".c", ".cs", ".go", ".rs", ".php", ".rb", ".swift", ".kt", ".json", ".yaml", ".yml", ".toml", ".xml", ".html", ".css", ".scss", ".md", ".txt")
 EXTENSION_LANGUAGE = {
     ".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".java": "Java", ".cpp": "C++", ".c": "C",
     ".cs": "C#", ".go": "Go", ".rs": "Rust", ".php": "PHP", ".rb": "Ruby", ".swift": "Swift", ".kt": "Kotlin", ".json": "JSON", ".yaml": "YAML",
     ".yml": "YAML", ".xml": "XML", ".html": "HTML", ".css": "CSS", ".scss": "SCSS", ".md": "Markdown", ".txt": "Text",
 }
-ROOT_IGNORE_DIRS = tuple(".git .venv venv __pycache__ node_modules dist build target coverage .idea .vscode .cache .pytest_cache .mypy_cache .ruff_cache".split())
-COMMON_SOURCE_NAMES = tuple("src app backend frontend server client core engine api pkg lib libs".split())
-PROJECT_FILES = tuple("requirements.txt pyproject.toml package.json Cargo.toml go.mod pom.xml build.gradle build.gradle.kts settings.gradle composer.json CMakeLists.txt Makefile".split())
+ROOT_IGNORE_DIRS = (".git", ".venv", "venv", "__pycache__", "node_modules", "dist", "build", "target", "coverage", ".idea", ".vscode", ".cache", ".pytest_cache", ".mypy_cache", ".ruff_cache")
+COMMON_SOURCE_NAMES = ("src", "app", "backend", "frontend", "server", "client", "core", "engine", "api", "pkg", "lib", "libs")
+PROJECT_FILES = ("requirements.txt", "pyproject.toml", "package.json", "Cargo.toml", "go.mod", "pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", "composer.json", "CMakeLists.txt", "Makefile")
 ROOT_LANGUAGE = {
     ".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".java": "Java", ".kt": "Kotlin", ".go": "Go",
     ".rs": "Rust", ".cpp": "C/C++", ".cc": "C/C++", ".c": "C/C++", ".hpp": "C/C++", ".h": "C/C++", ".cs": "C#", ".swift": "Swift", ".php": "PHP", ".rb": "Ruby",
 }
-IMPORTANT_SUBDIRS = tuple("models routes controllers services views tests".split())
-KNOWN_CONFIG_FILES = tuple(
-    "package.json requirements.txt pyproject.toml Dockerfile docker-compose.yml Cargo.toml pom.xml build.gradle composer.json angular.json vite.config.ts vite.config.js next.config.js tailwind.config.js README.md LICENSE".split()
-)
+IMPORTANT_SUBDIRS = ("models", "routes", "controllers", "services", "views", "tests")
+KNOWN_CONFIG_FILES = ("package.json", "requirements.txt", "pyproject.toml", "Dockerfile", "docker-compose.yml", "Cargo.toml", "pom.xml", "build.gradle", "composer.json", "angular.json", "vite.config.ts", "vite.config.js", "next.config.js", "tailwind.config.js", "README.md", "LICENSE")
 PYTHON_PACKAGES = {
     "fastapi": "FastAPI", "flask": "Flask", "django": "Django", "streamlit": "Streamlit", "langchain": "LangChain", "llama-index": "LlamaIndex",
     "pydantic": "Pydantic", "sqlalchemy": "SQLAlchemy", "pytest": "PyTest", "numpy": "NumPy", "pandas": "Pandas", "torch": "PyTorch", "tensorflow": "TensorFlow",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 from datetime import datetime
 
@@ -10,18 +11,29 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .tree import resolve_root
 
-SEPARATOR = "\x1f"
+#: Seconds after which a call of git is given up.
+LIMIT = 120
+#: Nothing that a scanned repository configures may run: no monitor, no hooks, no prompts, and no filters (below).
+SAFE = ["-c", "core.quotePath=false", "-c", "core.fsmonitor=false", "-c", "core.hooksPath=/dev/null", "-c", "core.pager=cat"]
+ENVIRONMENT = {"GIT_TERMINAL_PROMPT": "0", "GIT_OPTIONAL_LOCKS": "0", "GIT_CONFIG_NOSYSTEM": "1", "GIT_ASKPASS": "true"}
 
 
-def git(root: str, *args: str) -> str | None:
-    """What git prints; None if it fails or isn't there."""
+def git(root: str, *args: str, settings: tuple[str, ...] = ()) -> str | None:
+    """What git prints; None if it fails, takes too long or isn't there."""
+    own = [x for s in settings for x in ("-c", s)]
     try:
-        done = subprocess.run(["git", "-c", "core.quotePath=false", "-c", "safe.directory=*", "-C", root, *args], capture_output=True, text=True, errors="replace")
-    except OSError:
+        done = subprocess.run(["git", *SAFE, *own, "-C", root, *args], capture_output=True, text=True, errors="replace", timeout=LIMIT, env=os.environ | ENVIRONMENT, stdin=subprocess.DEVNULL)
+    except (OSError, subprocess.TimeoutExpired):
         return None
     return done.stdout if done.returncode == 0 else None
 
 
+def without_filters(root: str) -> tuple[str, ...]:
+    """Settings that switch off each filter that the repository configures; to list them runs none."""
+    names = (git(root, "config", "--name-only", "-z", "--get-regexp", r"^filter\..*\.(clean|smudge|process|required)$") or "").split("\0")
+    return tuple(f"{n}={'false' if n.endswith('.required') else ''}" for n in names if n)
+
+
 class Project(InputPartition):
     def __init__(self, root: str, project_id: str):
         super().__init__(root)
@@ -51,7 +63,7 @@ def facts(root: str, project_id: str):
     top = top.strip("\n")
     branch = git(top, "symbolic-ref", "--short", "-q", "HEAD")
     has_commit = git(top, "rev-parse", "--verify", "-q", "HEAD") is not None
-    changed = [line for line in (git(top, "status", "--porcelain", "--untracked-files=no") or "").splitlines() if line]
+    changed = [line for line in (git(top, "status", "--porcelain", "--untracked-files=no", "--ignore-submodules=all", settings=without_filters(top)) or "").splitlines() if line]
     untracked = (git(top, "ls-files", "--others", "--exclude-standard", "-z") or "").split("\0")
     origin = git(top, "symbolic-ref", "refs/remotes/origin/HEAD")
     diagnostic = "no commit" if not has_commit else "detached head" if branch is None else None
@@ -59,9 +71,10 @@ def facts(root: str, project_id: str):
 
 
 def commits(root: str, project_id: str):
-    log = git(root, "log", f"--format=%H{SEPARATOR}%an{SEPARATOR}%ae{SEPARATOR}%cI") or ""
-    for i, line in enumerate(line for line in log.split("\n") if line):
-        sha, author, email, date = line.split(SEPARATOR)
+    # no name can hold the byte 0, which stands between and behind all fields
+    fields = (git(root, "log", "-z", "--no-show-signature", "--format=%H%x00%an%x00%ae%x00%cI") or "").split("\0")
+    for i in range(len(fields) // 4):
+        sha, author, email, date = fields[4 * i : 4 * i + 4]
         yield project_id, i, sha, author, email, datetime.fromisoformat(date)
 
 

@@ -10,12 +10,14 @@ from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..rules import ROOT_IGNORE_DIRS, SCAN_IGNORE_DIRS
+from ..rules import ROOT_IGNORE_DIRS, SCAN_IGNORE_DIRS, SCAN_IGNORE_FILES, SUPPORTED_EXTENSIONS
 from ..schemas import LISTING
 
 
 #: What a walk does with an entry: lists a file, lists a directory only, or goes into it.
 FILE, STAY, DESCEND = "file", "stay", "descend"
+#: Subtrees of a project from which planning opens no more levels, and levels it opens at most.
+SPREAD, LEVELS = 64, 3
 
 
 def resolve_root(path: str) -> tuple[str, str]:
@@ -33,22 +35,22 @@ def _moment(seconds: float) -> datetime:
     return datetime.fromtimestamp(seconds, tz=UTC)
 
 
-class Subtree(InputPartition):
-    """A directory of a project: its own entries, and all below it unless ``flat``."""
+class Subtrees(InputPartition):
+    """Directories of a project: of each its own entries, and all below it unless ``flat``."""
 
-    def __init__(self, root: str, project_id: str, relative: str, flat: bool):
-        super().__init__((root, relative))
-        self.root, self.project_id, self.relative, self.flat = root, project_id, relative, flat
+    def __init__(self, root: str, project_id: str, directories: tuple[str, ...], flat: bool):
+        super().__init__((root, directories))
+        self.root, self.project_id, self.directories, self.flat = root, project_id, directories, flat
 
 
 class ProjectTree(DataSource):
-    """Options: path (one), or paths (a JSON list); ruleset scan (default) or roots.
+    """Options: path (one), or paths (a JSON list); ruleset scan (default) or roots; ignore_dirs (a JSON list) instead of the ruleset's own.
 
     scan leaves out ignored directories and follows links to directories; roots
     leaves out the other set and lists links to directories without following
-    them.  Each directory under a
-    root is a partition.  What can't be read is left out; a link back to a
-    directory above it isn't followed.
+    them.  The subtrees of the first level that has SPREAD of them are
+    partitions, and the directories above are one more.  What can't be read is
+    left out; a link back to a directory above it isn't followed.
     """
 
     @classmethod
@@ -67,15 +69,32 @@ class TreeReader(DataSourceReader):
         paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
         self.roots = [resolve_root(p) for p in paths]
         self.follow = options.get("ruleset", "scan") == "scan"
-        self.ignored = set(SCAN_IGNORE_DIRS if self.follow else ROOT_IGNORE_DIRS)
+        own = SCAN_IGNORE_DIRS if self.follow else ROOT_IGNORE_DIRS
+        self.ignored = set(json.loads(options["ignore_dirs"]) if "ignore_dirs" in options else own)
 
     def partitions(self):
         found = []
         for root, project_id in self.roots:
-            found.append(Subtree(root, project_id, "", True))
-            found += [Subtree(root, project_id, name, False) for name, _, kind in self._entries(root) if kind == DESCEND]
+            flat, level = [], [""]
+            for _ in range(LEVELS):
+                if len(level) < SPREAD:
+                    flat += level
+                    level = [below for d in level for below in self._below(root, d)]
+            found.append(Subtrees(root, project_id, tuple(flat), True))
+            found += [Subtrees(root, project_id, (d,), False) for d in level]
         return found
 
+    @staticmethod
+    def _above(root: str, relative: str) -> set[str]:
+        """Where a directory and those above it really are."""
+        parts = relative.split("/") if relative else []
+        return {os.path.realpath(os.path.join(root, *parts[:n])) for n in range(len(parts) + 1)}
+
+    def _below(self, root: str, relative: str) -> list[str]:
+        above = self._above(root, relative)
+        entries = self._entries(os.path.join(root, relative))
+        return [f"{relative}/{name}" if relative else name for name, path, kind in entries if kind == DESCEND and os.path.realpath(path) not in above]
+
     def _entries(self, directory: str):
         """(name, path, kind) of what is listed in a directory."""
         try:
@@ -96,7 +115,7 @@ class TreeReader(DataSourceReader):
         except OSError:
             return False
 
-    def _row(self, part: Subtree, path: str, relative: str, is_dir: bool) -> tuple:
+    def _row(self, part: Subtrees, path: str, relative: str, is_dir: bool) -> tuple:
         size, modified, created = 0, 0.0, 0.0
         try:
             s = os.stat(path)
@@ -105,34 +124,35 @@ class TreeReader(DataSourceReader):
             pass
         return part.project_id, path, relative, is_dir, 0 if is_dir else size, _moment(modified), _moment(created)
 
-    def read(self, partition: Subtree):
-        top = os.path.join(partition.root, partition.relative) if partition.relative else partition.root
-        if not partition.relative:
-            yield self._row(partition, top, "", True)
-            for name, path, kind in self._entries(top):
-                if kind != DESCEND:
-                    yield self._row(partition, path, name, kind == STAY)
-            return
-        yield self._row(partition, top, partition.relative, True)
-        stack = [(top, partition.relative, {os.path.realpath(partition.root), os.path.realpath(top)})]
-        while stack:
-            directory, relative, above = stack.pop()
-            for name, path, kind in self._entries(directory):
-                own = f"{relative}/{name}"
-                if kind != DESCEND:
-                    yield self._row(partition, path, own, kind == STAY)
-                    continue
-                real = os.path.realpath(path)
-                if real in above:
-                    continue
-                yield self._row(partition, path, own, True)
-                stack.append((path, own, above | {real}))
+    def _walk(self, partition: Subtrees):
+        """(path, relative path, is_dir) of all that is listed."""
+        for relative in partition.directories:
+            top = os.path.join(partition.root, relative) if relative else partition.root
+            yield top, relative, True
+            stack = [(top, relative, self._above(partition.root, relative))]
+            while stack:
+                directory, relative, above = stack.pop()
+                for name, path, kind in self._entries(directory):
+                    own = f"{relative}/{name}" if relative else name
+                    if kind != DESCEND:
+                        yield path, own, kind == STAY
+                        continue
+                    if partition.flat or (real := os.path.realpath(path)) in above:
+                        continue
+                    yield path, own, True
+                    stack.append((path, own, above | {real}))
+
+    def read(self, partition: Subtrees):
+        for path, relative, is_dir in self._walk(partition):
+            yield self._row(partition, path, relative, is_dir)
 
 
 class ProjectContents(DataSource):
     """(project_id, path, content) of the files of trees whose name or extension is asked for.
 
-    Options as for project_tree, and names and extensions (JSON lists).
+    Options as for project_tree, and JSON lists: names and extensions, one of
+    which a file has; ignore_files and supported, the names that are not listed
+    and the suffixes that are, so that no other content leaves the source.
     """
 
     @classmethod
@@ -149,15 +169,21 @@ class ProjectContents(DataSource):
 class ContentReader(TreeReader):
     def __init__(self, options):
         super().__init__(options)
-        self.names, self.extensions = set(json.loads(options.get("names", "[]"))), set(json.loads(options.get("extensions", "[]")))
-
-    def read(self, partition: Subtree):
-        for project_id, path, relative, is_dir, *_ in super().read(partition):
-            name = os.path.basename(relative)
-            if is_dir or not (name in self.names or Path(name).suffix.lower() in self.extensions):
+        own = lambda name, default=(): set(json.loads(options[name])) if name in options else set(default)
+        self.names, self.extensions = own("names"), own("extensions")
+        self.ignored_files, self.supported = own("ignore_files", SCAN_IGNORE_FILES), own("supported", SUPPORTED_EXTENSIONS)
+
+    def _wanted(self, name: str) -> bool:
+        suffix = Path(name).suffix.lower()
+        listed = name not in self.ignored_files and (not suffix or suffix in self.supported)
+        return listed and (name in self.names or suffix in self.extensions)
+
+    def read(self, partition: Subtrees):
+        for path, relative, is_dir in self._walk(partition):
+            if is_dir or not self._wanted(os.path.basename(relative)):
                 continue
             try:
                 with open(path, "rb") as f:
-                    yield project_id, relative, f.read()
+                    yield partition.project_id, relative, f.read()
             except OSError:
-                yield project_id, relative, None
+                yield partition.project_id, relative, None
