@@ -227,11 +227,81 @@ def test_settings(tmp_path, monkeypatch):
     assert Settings.load(None).app_name == "treelens"
 
 
-def test_persisted_catalog_answers_the_same(spark, tmp_path):
-    c = scan(spark, tree(tmp_path / "p", {"src/a.py": "import os\n"}))
-    before = c.dependencies.collect()
-    assert c.persist().dependencies.collect() == before
+def test_kept_tables_answer_the_same(spark, tmp_path):
+    root = tree(tmp_path / "p", {"src/a.py": "import os\n"})
+    c, again = scan(spark, root), scan(spark, root, keep=False)
+    assert c.dependencies.collect() == again.dependencies.collect() and c.parsed.is_cached and not again.parsed.is_cached
     c.unpersist()
+    assert not c.parsed.is_cached
+
+
+def test_rules_reach_the_sources(spark, tmp_path):
+    from treelens.rules import Rules
+
+    root = tree(tmp_path / "p", {"build/a.py": "import os\n", "vendor/b.py": "import json\n", "src/c.py": "", "src/d.x": ""})
+    c = scan(spark, root, rules=Rules(scan_ignore_dirs=("vendor",), root_ignore_dirs=("src",), supported_extensions=(".py", ".x")))
+    assert {r.path for r in c.files.collect()} == {"build/a.py", "src/c.py", "src/d.x"}
+    assert {r.path for r in c.dirs.collect()} == {"build", "src"} and c.statistics.first().total_directories == 2
+    assert {r.path for r in c.parsed.collect()} == {"build/a.py", "src/c.py"}
+    assert {r.path for r in c.tree.where("is_dir").collect()} == {"", "build", "vendor"}
+
+
+def test_levels_below_the_top_are_partitions(tmp_path):
+    import json
+
+    from treelens.sources import tree as source
+
+    root = tree(tmp_path / "p", {f"src/d{i}/e{k}/f.py": "" for i in range(9) for k in range(9)} | {"src/x.py": "", "top.py": ""})
+    os.symlink(root, f"{root}/src/back")
+    reader = source.TreeReader({"paths": json.dumps([root])})
+    parts = reader.partitions()
+    rows = [r[2:4] for p in parts for r in reader.read(p)]
+    wanted = {("", True), ("src", True), ("src/x.py", False), ("top.py", False)} | {(f"src/d{i}", True) for i in range(9)} | {(f"src/d{i}/e{k}", True) for i in range(9) for k in range(9)} | {(f"src/d{i}/e{k}/f.py", False) for i in range(9) for k in range(9)}
+    assert len(parts) == 1 + 81 and len(rows) == len(wanted) and set(rows) == wanted
+
+
+def test_imports_parse_each_file_once(spark, tmp_path):
+    """Without kept tables, too, the symbols of all three kinds come from one pass."""
+    from treelens.operators import resolve
+
+    c = scan(spark, tree(tmp_path / "p", {"src/a.py": "import os\n"}), keep=False)
+    plan = resolve.symbol_table(c.parsed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    c = scan(spark, str(tmp_path / "p"))
+    plan = c.imports._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan.replace(plan[plan.index("InMemoryRelation"):], "") and "project_contents" not in plan.split("InMemoryRelation")[0]
+    c.unpersist()
+
+
+def test_rounding_is_that_of_python(spark):
+    import random
+
+    from treelens.operators import stats
+
+    r = random.Random(3)
+    values = [0.0, 0.125, 0.375, 2.675, 1.005, 0.615, 1e-9, 0.005, 0.015, 2.5, 1e15 + 0.3, 2.0**44 + 0.125, 123456789012.125, 0.995, 99.995]
+    values += [r.randrange(1, 10**9) / r.randrange(1, 10**4) for _ in range(3000)] + [k / 8 + 0.005 for k in range(500)] + [k / 200 for k in range(2000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", stats.python_round(F.col("v")).alias("x")).collect()
+    assert [(x.v, x.x) for x in rows if x.x != round(x.v, 2)] == []
+
+
+def test_a_scanned_repository_runs_nothing(spark, tmp_path):
+    root = tree(tmp_path / "p", {"a.txt": "1", ".gitattributes": "*.txt filter=evil\n"})
+    git = lambda *a: subprocess.run(["git", "-C", root, *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", ".")
+    git("-c", "user.name=x\x1fy", "-c", "user.email=e", "commit", "-q", "-m", "c")
+    for name in ("monitor", "filter"):
+        script = tmp_path / name
+        script.write_text(f"#!/bin/sh\ntouch {tmp_path}/{name}.ran\ncat\n")
+        script.chmod(0o755)
+    git("config", "core.fsmonitor", f"{tmp_path}/monitor")
+    git("config", "filter.evil.clean", f"{tmp_path}/filter")
+    git("config", "filter.evil.required", "true")
+    (tmp_path / "p/a.txt").write_text("2")
+    s = scan(spark, root).git.first()
+    assert s.is_git_repository and s.dirty and s.last_commit_author == "x\x1fy" and s.total_commits == 1
+    assert not list(tmp_path.glob("*.ran"))
 
 
 def reference_roots(base: Path, ignored: set[str]):

@@ -34,7 +34,8 @@ def python_round(value: Column) -> Column:
     """value to two places as Python's round does it: by the exact binary value, ties to even.
 
     100 * value is p + e without error: the halves of value have few enough bits
-    for exact products.  From 2**45 on a double has no third place that counts.
+    for exact products.  From 2**45 on, where these products
+    aren't exact any more, the value stays as it is.
     """
     split = value * F.lit(134217729.0)
     high = split - (split - value)

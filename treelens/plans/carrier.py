@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +35,15 @@ PACKAGE = f"""'{{"dependencies":{{"' || {FIRST} || '":"1"}},"devDependencies":{{
 TOOL = "CASE CAST(seq % 5 AS INT) WHEN 0 THEN 'poetry' WHEN 1 THEN 'ruff' WHEN 2 THEN 'black' WHEN 3 THEN 'mypy' ELSE 'isort' END"
 PYPROJECT = f"'[project]' || chr(10) || 'name = \"p\"' || chr(10) || '[tool.' || {TOOL} || ']' || chr(10) || 'x = 1' || chr(10)"
 
+#: A source with decorators, docstrings, bases, async definitions, and targets of several kinds.
+DETAILS = """'@dec.a(1)' || chr(10) || 'class X' || CAST(seq % 4 AS VARCHAR(9)) || '(pkg.Base, Gen[int], metaclass=M):' || chr(10) || '    "doc ' || CAST(seq AS VARCHAR(9)) || '"' || chr(10)
+  || '    @staticmethod' || chr(10) || '    async def m(self): pass' || chr(10) || chr(10) || '@wrap' || chr(10) || 'async def f(x):' || chr(10) || '    "fd"' || chr(10) || chr(10)
+  || 'a, b = 1, 2' || chr(10) || 'X.y = 3' || chr(10) || '[c] = [4]' || chr(10) || 'z: int = 5' || chr(10)"""
+#: A source whose one name is a class, a function and a variable, or two of these, or a variable.
+PRIORITY = """CASE CAST(seq % 3 AS INT) WHEN 0 THEN 'N = 1' || chr(10) || 'def N(): pass' || chr(10) || 'class N: pass' WHEN 1 THEN 'N = 1' || chr(10) || 'def N(): pass' ELSE 'N = 1' END || chr(10)"""
+#: What a file of the listing holds on disk.
+ON_DISK = f"""CASE WHEN lower(path) LIKE '%.py' THEN {SOURCE} WHEN path = 'package.json' OR path LIKE '%/package.json' THEN {PACKAGE} ELSE repeat('x', CAST(size % 50 AS INT)) END"""
+
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project_id, path, seq, size); of rows with one path the first."""
@@ -52,10 +66,65 @@ def projects(files: DataFrame) -> DataFrame:
     return files.select("project_id").distinct().select("project_id", F.concat(F.lit("/data/"), "project_id").alias("root_path"))
 
 
-def python_sources(files: DataFrame) -> DataFrame:
-    return files.where("lower(path) LIKE '%.py'").selectExpr("project_id", "path", "seq", f"encode({SOURCE}, 'UTF-8') AS content")
+def python_sources(files: DataFrame, source: str = SOURCE) -> DataFrame:
+    return files.where("lower(path) LIKE '%.py'").selectExpr("project_id", "path", "seq", f"encode({source}, 'UTF-8') AS content")
 
 
 def manifests(files: DataFrame, name: str) -> DataFrame:
     text = {"requirements.txt": REQUIREMENTS, "package.json": PACKAGE, "pyproject.toml": PYPROJECT}[name]
     return files.selectExpr("project_id", "seq", "path", f"'{name}' AS name", f"{text} AS text")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir, or on this machine where the master is local and that isn't set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="trees-")
+    if not base or "://" in base.replace("file://", "", 1):
+        raise ValueError("set spark.checkpoint.dir to a mounted folder that the driver and all executors share")
+    base = "/" + base.removeprefix("file:").lstrip("/")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def write_tree(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The listing as projects on disk, written by the executors; the projects' paths."""
+    base, files = shared_folder(spark), listing(spark, sf_dir).selectExpr("project_id", "path", f"{ON_DISK} AS content")
+
+    def write(rows):
+        for r in rows:
+            path = os.path.join(base, r.project_id, r.path)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "w") as f:
+                f.write(r.content)
+
+    files.foreachPartition(write)
+    return [os.path.join(base, r.project_id) for r in files.select("project_id").distinct().orderBy("project_id").collect()]
+
+
+def write_repositories(spark: SparkSession, sf_dir: str) -> list[str]:
+    """A small git repository for each source, made of the number n of its documents; the paths.
+
+    n % 3 + 1 commits, each with a tag; a remote with two urls and a head; one
+    untracked file; a changed file where n is odd.
+    """
+    base, found = shared_folder(spark), []
+    for source, n in spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count().orderBy("source").collect():
+        root = os.path.join(base, source)
+        os.makedirs(root)
+        git = lambda *args, **more: subprocess.run(["git", "-C", root, *args], check=True, capture_output=True, env=os.environ | more)  # noqa: B023, E731
+        git("init", "-q", "-b", "main")
+        for k in range(n % 3 + 1):
+            with open(f"{root}/a.txt", "w") as f:
+                f.write(f"{k}\n")
+            git("add", "a.txt")
+            who = {f"GIT_{x}_{y}": v for x in ("AUTHOR", "COMMITTER") for y, v in (("NAME", f"A {k}"), ("EMAIL", f"a{k}@example.org"), ("DATE", f"2024-01-0{k + 1}T00:00:00+00:00"))}
+            git("commit", "-q", "-m", f"c{k}", **who)
+            git("tag", f"v{k}")
+        for args in (("add", "origin", f"https://example.org/{source}"), ("set-url", "--add", "origin", "https://example.org/other")):
+            git("remote", *args)
+        git("symbolic-ref", "refs/remotes/origin/HEAD", "refs/remotes/origin/release/v1")
+        for name, text in (("u.txt", "new"), *((("a.txt", "changed"),) if n % 2 else ())):
+            with open(f"{root}/{name}", "w") as f:
+                f.write(text)
+        found.append(root)
+    return found

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..config import Settings
 from ..functions import paths
 from ..operators import git, index, listing, manifests, pyast, resolve, roots, stats
 from . import carrier, report
+from .scan import scan
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -96,9 +98,15 @@ def project_totals(spark, sf_dir):
     return _totals(spark, sf_dir)
 
 
-@query(f"WITH {TOTALS} SELECT project_id, CASE WHEN total_files = 0 THEN 0.0 ELSE total_size::DOUBLE / total_files::DOUBLE END AS average_file_size FROM t")
+#: printf rounds the exact binary value.
+AVERAGE = "CASE WHEN total_files = 0 THEN 0.0 ELSE CAST(printf('%.2f', total_size::DOUBLE / total_files::DOUBLE) AS DOUBLE) END AS average_file_size"
+
+
+@query(f"WITH {TOTALS} SELECT project_id, {AVERAGE}, CASE WHEN total_files = 0 THEN 0.0 ELSE total_size::DOUBLE / total_files::DOUBLE END AS exact FROM t")
 def average_file_size(spark, sf_dir):
-    return stats.average_file_size(_totals(spark, sf_dir), rounded=False).select("project_id", "average_file_size")
+    totals = _totals(spark, sf_dir)
+    exact = stats.average_file_size(totals, rounded=False).select("project_id", F.col("average_file_size").alias("exact"))
+    return stats.average_file_size(totals).select("project_id", "average_file_size").join(exact, "project_id")
 
 
 HISTOGRAM = f"{SEEN}, h AS (SELECT project_id, CASE WHEN extension = '' THEN 'no_extension' ELSE extension END AS extension, count(*) AS n FROM f GROUP BY ALL)"
@@ -119,14 +127,22 @@ def language_rollup(spark, sf_dir):
     return stats.language_rollup(stats.extension_histogram(_files(spark, sf_dir)))
 
 
-@query(f"WITH {SEEN} SELECT project_id, name, count(*) AS n, arg_min(path, seq) AS first_path FROM f GROUP BY ALL")
+#: A list of files as text, in scan order.
+FILES = "count(*) AS n, arg_min(path, seq) AS first_path, string_agg(seq || ':' || path || ':' || size, ',' ORDER BY seq) AS files"
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("files", F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["seq"].cast("string"), f["path"], f["size"].cast("string"))), ","))
+
+
+@query(f"WITH {SEEN} SELECT project_id, name, {FILES} FROM f GROUP BY project_id, name")
 def files_by_name(spark, sf_dir):
-    return index.files_by(_files(spark, sf_dir), "name").drop("files")
+    return _listed(index.files_by(_files(spark, sf_dir), "name"))
 
 
-@query(f"WITH {SEEN} SELECT project_id, extension, count(*) AS n, arg_min(path, seq) AS first_path FROM f GROUP BY ALL")
+@query(f"WITH {SEEN} SELECT project_id, extension, {FILES} FROM f GROUP BY project_id, extension")
 def files_by_extension(spark, sf_dir):
-    return index.files_by(_files(spark, sf_dir), "extension").drop("files")
+    return _listed(index.files_by(_files(spark, sf_dir), "extension"))
 
 
 @query(f"WITH {SEEN} SELECT project_id, name, seq, path FROM f WHERE name IN ({_list(rules.KNOWN_CONFIG_FILES)})")
@@ -170,9 +186,26 @@ def _roots(v: DataFrame) -> DataFrame:
     return roots.source_roots(_scores(v), carrier.projects(v))
 
 
-@query(f"WITH {ROOTS} SELECT project_id, rank, path, score, language, 'Low' AS confidence FROM rt")
+#: Roots with their reasons and language counts, as texts.
+REASONS = f"""{ROOTS}, nm AS (SELECT project_id, parent AS path, list(DISTINCT 'contains ' || name) AS names FROM n WHERE name IN ({_list(rules.PROJECT_FILES)}) GROUP BY ALL),
+lc AS (SELECT project_id, directory AS path, sum(n) AS n_sources, string_agg(language || '=' || n, ',' ORDER BY language) AS counts FROM c GROUP BY ALL),
+why AS (SELECT own.project_id, own.path, coalesce(lc.counts, '') AS language_counts, array_to_string(list_sort(list_concat(list_concat(
+    CASE WHEN lower(own.name) IN ({_list(rules.COMMON_SOURCE_NAMES)}) THEN ['directory named ' || chr(39) || own.name || chr(39)] ELSE [] END,
+    CASE WHEN n_sources = 1 THEN ['contains 1 source file'] WHEN n_sources > 1 THEN ['contains ' || n_sources || ' source files'] ELSE [] END),
+    list_concat(CASE WHEN sub.k > 0 THEN ['contains common source directories'] ELSE [] END, coalesce(nm.names, [])))), ', ') AS reasons
+  FROM own LEFT JOIN nm USING (project_id, path) LEFT JOIN lc USING (project_id, path) LEFT JOIN sub USING (project_id, path))"""
+ROOT_ROWS = """SELECT project_id, rank, rt.path, score, language, 'Low' AS confidence, CASE WHEN score = 1 THEN 'fallback' ELSE reasons END AS reasons, CASE WHEN score = 1 THEN '' ELSE language_counts END AS language_counts
+  FROM rt LEFT JOIN why USING (project_id, path)"""
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    counts = F.array_join(F.transform(F.map_entries("language_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return found.withColumns({"reasons": F.array_join("reasons", ", "), "language_counts": F.coalesce(counts, F.lit(""))})
+
+
+@query(f"WITH {REASONS} {ROOT_ROWS}")
 def source_roots(spark, sf_dir):
-    return _roots(carrier.listing(spark, sf_dir)).drop("language_counts", "reasons")
+    return _shown(_roots(carrier.listing(spark, sf_dir)))
 
 
 @query(f"WITH {OWNED} SELECT project_id, path, root FROM ow")
@@ -352,9 +385,10 @@ def tz_render(spark, sf_dir):
     return events.select("event_id", F.date_format(stats.in_zone(F.col("ts").cast("timestamp"), "IST"), "yyyy-MM-dd HH:mm:ss").alias("shown"))
 
 
-@query()
+@query(f"""WITH {TOTALS} SELECT '{{"project_id":"' || project_id || '","total_files":' || total_files || ',"total_directories":' || total_directories || ',"total_size":' || total_size
+  || ',"hidden_files":' || hidden_files || ',"max_depth":' || max_depth || '}}' AS json FROM t""")
 def report_json(spark, sf_dir):
-    return report.as_json(_totals(spark, sf_dir))
+    return report.as_json(_totals(spark, sf_dir), pretty=False)
 
 
 @query(f"""WITH {V}, r AS (SELECT project_id, lower(trim(unnest(string_split({carrier.REQUIREMENTS}, chr(10))))) AS p FROM v),
@@ -365,3 +399,158 @@ SELECT DISTINCT project_id, framework FROM x""")
 def framework_flags(spark, sf_dir):
     v = carrier.listing(spark, sf_dir)
     return manifests.framework_flags(carrier.manifests(v, "requirements.txt").union(carrier.manifests(v, "pyproject.toml")).union(carrier.manifests(v, "package.json")))
+
+
+# What follows reads projects that are written to disk first, as the listing has them; "first" and "last" go by path there.
+
+DISK = V.replace("arg_min(size, seq) AS size FROM", "arg_min(size, seq) AS given FROM").replace("v AS (SELECT project_id", "v0 AS (SELECT project_id") + f", v AS (SELECT project_id, path, seq, length({carrier.ON_DISK.replace('size %', 'given %')}) AS size FROM v0)"
+
+
+def _on_disk(sql: str) -> str:
+    return sql.replace(V, DISK)
+
+
+def _scan(spark, sf_dir):
+    return scan(spark, carrier.write_tree(spark, sf_dir))
+
+
+def _named(catalog, rows: DataFrame) -> DataFrame:
+    """``rows`` with the name of their project instead of its id."""
+    return rows.join(catalog.projects.select("project_id", "project_name"), "project_id").drop("project_id")
+
+
+DEPTH = "CAST(CASE WHEN parent = '' THEN 0 ELSE len(string_split(parent, '/')) END AS INT)"
+
+
+@query(_on_disk(f"WITH {SEEN} SELECT project_id AS project_name, row_number() OVER (PARTITION BY project_id ORDER BY path) AS seq, path, name, parent, {DEPTH} AS depth, extension, size, starts_with(name, '.') AS is_hidden FROM f"))
+def tree_files(spark, sf_dir):
+    c = _scan(spark, sf_dir)
+    return _named(c, c.files).drop("modified_time", "created_time", "zone")
+
+
+@query(_on_disk(f"""WITH {TOTALS}, hx AS (SELECT project_id, string_agg(extension || '=' || n, ',' ORDER BY extension) AS extensions FROM (SELECT project_id, CASE WHEN extension = '' THEN 'no_extension' ELSE extension END AS extension, count(*) AS n FROM f GROUP BY ALL) GROUP BY project_id)
+SELECT project_id AS project_name, total_files, total_directories, total_size, hidden_files, max_depth, {AVERAGE}, extensions FROM t LEFT JOIN hx USING (project_id)"""))
+def tree_statistics(spark, sf_dir):
+    c = _scan(spark, sf_dir)
+    extensions = F.array_join(F.transform(F.map_entries("extensions"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return _named(c, c.statistics).withColumn("extensions", extensions)
+
+
+@query(_on_disk(f"WITH {REASONS} SELECT project_id AS project_name, * EXCLUDE (project_id) FROM ({ROOT_ROWS})"))
+def tree_roots(spark, sf_dir):
+    c = _scan(spark, sf_dir)
+    return _named(c, _shown(c.source_roots))
+
+
+TREE_MODULES = _on_disk(MODULES).replace("arg_max(path, seq) AS path FROM mn", "max(path) AS path FROM mn")
+
+
+@query(f"WITH {TREE_MODULES} SELECT project_id AS project_name, module, path FROM mi")
+def tree_modules(spark, sf_dir):
+    c = _scan(spark, sf_dir)
+    return _named(c, c.module_index)
+
+
+TREE_IMPORTS = f"""{TREE_MODULES}, py AS (SELECT project_id, path, seq FROM f WHERE extension = '.py'), {IMPORTS}, {SYMBOLS},
+rs AS (SELECT im.*, coalesce(a.path, b.path) AS resolved_file FROM im LEFT JOIN mi a ON a.project_id = im.project_id AND a.module = im.module LEFT JOIN mi b ON b.project_id = im.project_id AND b.module = im.module || '.' || im.name)"""
+
+
+@query(f"""WITH {TREE_IMPORTS} SELECT rs.project_id AS project_name, rs.path, ord, module, rs.name, alias, relative_level, resolved_file, sy.name AS resolved_symbol, sy.type AS resolved_symbol_type
+FROM rs LEFT JOIN sy ON sy.project_id = rs.project_id AND sy.path = resolved_file AND sy.name = rs.name""")
+def tree_imports(spark, sf_dir):
+    c = _scan(spark, sf_dir)
+    return _named(c, c.imports)
+
+
+@query(_on_disk(f"""WITH {SEEN}, p AS (SELECT *, {carrier.FIRST} AS a, {carrier.SECOND} AS b, CASE CAST(seq % 6 AS INT) WHEN 0 THEN 'pnpm' WHEN 1 THEN 'yarn' WHEN 2 THEN 'npm' END AS pm FROM f WHERE name = 'package.json'),
+fw AS (SELECT project_id, string_agg(framework, ',' ORDER BY framework) AS frameworks FROM (SELECT DISTINCT project_id, framework FROM (SELECT project_id, unnest([a, b]) AS package FROM p) JOIN (VALUES {_values(rules.JS_PACKAGES)}) t(package, framework) USING (package)) GROUP BY project_id),
+bs AS (SELECT project_id, CASE WHEN b = 'vite' THEN 'Vite' WHEN a = 'next' THEN 'Next.js' END AS x, path FROM p),
+pn AS (SELECT project_id, coalesce(arg_max(pm, path) FILTER (pm IS NOT NULL), 'npm') AS package_managers FROM p GROUP BY project_id)
+SELECT g.project_id AS project_name, coalesce(frameworks, '') AS frameworks, package_managers, (SELECT arg_max(x, path) FROM bs WHERE bs.project_id = g.project_id AND x IS NOT NULL) AS build_systems,
+  CASE WHEN EXISTS (SELECT 1 FROM f WHERE f.project_id = g.project_id AND name = 'Dockerfile') THEN 'Docker' ELSE '' END AS containerization, '' AS ci_cd
+FROM (SELECT DISTINCT project_id FROM v) g LEFT JOIN fw USING (project_id) LEFT JOIN pn USING (project_id)"""))
+def tree_frameworks(spark, sf_dir):
+    c = _scan(spark, sf_dir)
+    lists = {k: F.array_join(k, ",") for k in ("containerization", "ci_cd")} | {"frameworks": F.array_join(F.map_keys("frameworks"), ",")}
+    return _named(c, c.frameworks).withColumns(lists)
+
+
+SYMBOL_LINE = "' imports 3 classes 1 functions 1 variables 1'"
+
+
+@query(f"""WITH {TREE_IMPORTS}, hl AS (SELECT project_id, language, count(*) AS n FROM f JOIN (VALUES {_values(rules.EXTENSION_LANGUAGE)}) t(extension, language) USING (extension) GROUP BY ALL)
+SELECT project_id AS project_name, 'Languages' AS section, rpad(language, 20, ' ') || ' ' || n AS line FROM hl UNION ALL SELECT project_id, 'Modules', module || ' -> ' || path FROM mi
+UNION ALL SELECT project_id, 'Dependencies', path || ': json, m' || (seq % 13) || ', os' FROM py UNION ALL SELECT project_id, 'Symbols', path || {SYMBOL_LINE} FROM py
+UNION ALL SELECT project_id, x.section, x.line FROM (SELECT DISTINCT project_id FROM v) g JOIN (VALUES ('Languages', 'No languages'), ('Modules', 'No Python modules'), ('Dependencies', 'No dependency information'), ('Symbols', 'No symbols')) x(section, line)
+  ON NOT CASE x.section WHEN 'Languages' THEN EXISTS (SELECT 1 FROM hl WHERE hl.project_id = g.project_id) WHEN 'Modules' THEN EXISTS (SELECT 1 FROM mi WHERE mi.project_id = g.project_id) ELSE EXISTS (SELECT 1 FROM py WHERE py.project_id = g.project_id) END""")
+def tree_report(spark, sf_dir):
+    c = _scan(spark, sf_dir)
+    title = F.element_at(F.array(*map(F.lit, report.SECTIONS)), F.col("section") + 1)
+    return _named(c, report.report_lines(c).where("section IN (3, 5, 6, 7)").select("project_id", title.alias("section"), "line"))
+
+
+@query("""SELECT source AS project_name, true AS is_git_repository, 'main' AS current_branch, 'v1' AS default_branch, 'origin=https://example.org/' || source AS remotes, 'A ' || (count(*) % 3) AS last_commit_author,
+  'a' || (count(*) % 3) || '@example.org' AS last_commit_email, '2024-01-0' || (count(*) % 3 + 1) AS last_commit_date, count(*) % 3 + 1 AS total_commits, count(*) % 2 = 1 AS dirty, 'u.txt' AS untracked_files,
+  CASE count(*) % 3 WHEN 0 THEN 'v0' WHEN 1 THEN 'v0,v1' ELSE 'v0,v1,v2' END AS tags FROM documents GROUP BY source""")
+def git_repositories(spark, sf_dir):
+    c = scan(spark, carrier.write_repositories(spark, sf_dir), keep=False)
+    remotes = F.array_join(F.transform(F.map_entries("remotes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    lists = {k: F.array_join(k, ",") for k in ("untracked_files", "tags")} | {"remotes": remotes, "last_commit_date": F.date_format(F.to_utc_timestamp("last_commit_date", F.current_timezone()), "yyyy-MM-dd")}
+    return _named(c, c.git).withColumns(lists).drop("repository_root", "last_commit_hash", "diagnostic")
+
+
+@query(f"""WITH {PY} SELECT project_id, path, x.* FROM py, LATERAL (VALUES ('class', 'X' || (seq % 4), 2, 5, 'dec.a(1)', 'doc ' || seq, 'pkg.Base,Gen[int]', false), ('method', 'm', 5, 5, 'staticmethod', NULL, NULL, true),
+  ('function', 'f', 8, 9, 'wrap', 'fd', NULL, true), ('variable', 'a', 11, 11, NULL, NULL, NULL, false), ('variable', 'b', 11, 11, NULL, NULL, NULL, false), ('variable', 'z', 14, 14, NULL, NULL, NULL, false)) x(kind, name, line, end_line, decorators, docstring, bases, is_async)""")
+def symbol_details(spark, sf_dir):
+    parsed = pyast.symbols(carrier.python_sources(carrier.listing(spark, sf_dir), carrier.DETAILS))
+    null = lambda kind: F.lit(None).cast(kind)
+    row = lambda kind, name, line, end=None, decorators=None, doc=None, bases=None, is_async=None: F.struct(
+        F.lit(kind).alias("kind"), name.alias("name"), line.alias("line"), (line if end is None else end).alias("end_line"), (null("string") if decorators is None else F.array_join(decorators, ",")).alias("decorators"),
+        (null("string") if doc is None else doc).alias("docstring"), (null("string") if bases is None else F.array_join(bases, ",")).alias("bases"), (F.lit(False) if is_async is None else is_async).alias("is_async"),
+    )
+    methods = F.flatten(F.transform("classes", lambda c: F.transform(c["methods"], lambda m: row("method", m["name"], m["line"], m["end_line"], m["decorators"], m["docstring"], None, m["async_method"]))))
+    every = F.concat(
+        F.transform("classes", lambda c: row("class", c["name"], c["line"], c["end_line"], c["decorators"], c["docstring"], c["base_classes"])), methods,
+        F.transform("functions", lambda f: row("function", f["name"], f["line"], f["end_line"], f["decorators"], f["docstring"], None, f["async_function"])), F.transform("variables", lambda v: row("variable", v["name"], v["line"])),
+    )
+    return parsed.select("project_id", "path", F.explode(every).alias("x")).select("project_id", "path", "x.*")
+
+
+@query(f"""WITH {MODULES}, im AS (SELECT project_id, module, 'N' AS name FROM mi UNION ALL SELECT project_id, regexp_replace(module, '\\.[^.]+$', ''), string_split(module, '.')[-1] FROM mi WHERE contains(module, '.')),
+rs AS (SELECT im.*, coalesce(a.path, b.path) AS resolved_file FROM im LEFT JOIN mi a ON a.project_id = im.project_id AND a.module = im.module LEFT JOIN mi b ON b.project_id = im.project_id AND b.module = im.module || '.' || im.name)
+SELECT rs.project_id, module, name, resolved_file, CASE WHEN name <> 'N' THEN NULL WHEN v.seq % 3 = 0 THEN 'class' WHEN v.seq % 3 = 1 THEN 'function' ELSE 'variable' END AS resolved_symbol_type FROM rs LEFT JOIN v ON v.project_id = rs.project_id AND v.path = resolved_file""")
+def resolve_true_index(spark, sf_dir):
+    """Over the true module index: module.name where the module is none, and names that are symbols of several kinds."""
+    v = carrier.listing(spark, sf_dir)
+    modules = index.module_index(listing.visible_files(v), _roots(v))
+    longer = modules.where("contains(module, '.')").select("project_id", F.regexp_replace("module", r"\.[^.]+$", "").alias("module"), paths.last_segment(F.translate("module", ".", "/")).alias("name"))
+    resolved = resolve.resolve_modules(modules.select("project_id", "module", F.lit("N").alias("name")).union(longer), modules)
+    table = resolve.symbol_table(pyast.symbols(carrier.python_sources(v, carrier.PRIORITY)))
+    return resolve.resolve_symbols(resolved, table).select("project_id", "module", "name", "resolved_file", "resolved_symbol_type")
+
+
+@query(f"""WITH {PY} SELECT project_id, path, CASE WHEN seq % 4 = 3 THEN 1 ELSE 0 END AS n_functions, CASE WHEN seq % 4 = 3 THEN 'os' ELSE '' END AS deps, CASE WHEN seq % 4 = 2 THEN 'not UTF-8' END AS diagnostic FROM py""")
+def parse_guard(spark, sf_dir):
+    """Empty, broken and undecodable sources have no symbols, and stop nothing."""
+    content = "CASE CAST(seq % 4 AS INT) WHEN 0 THEN encode('', 'UTF-8') WHEN 1 THEN encode('def (', 'UTF-8') WHEN 2 THEN X'783D22E922' ELSE encode('import os' || chr(10) || 'def f(): pass', 'UTF-8') END"
+    parsed = pyast.symbols(carrier.python_sources(carrier.listing(spark, sf_dir)).withColumn("content", F.expr(content)))
+    return parsed.select("project_id", "path", F.size("functions").alias("n_functions"), F.array_join("deps", ",").alias("deps"), "diagnostic")
+
+
+@query(f"WITH {PY} SELECT project_id, path, 'json,m' || (seq % 13) || ',os' AS deps FROM py")
+def dependency_lists(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("project_id", "path", F.array_join("deps", ",").alias("deps"))
+
+
+@query(f"WITH {V} SELECT project_id, seq, path, 'caf' || chr(233) || ' ' || lpad(CAST(seq AS VARCHAR), 6, '0') AS text FROM v WHERE seq % 5 <> 4")
+def manifest_texts(spark, sf_dir):
+    """Manifests in three encodings; those that are gone have no row.  An odd number of bytes can't be taken for UTF-16."""
+    text = "concat('caf', char(233), ' ', lpad(cast(seq as string), 6, '0'))"
+    encoded = f"CASE CAST(seq % 5 AS INT) WHEN 0 THEN encode({text}, 'UTF-8') WHEN 1 THEN encode({text}, 'ISO-8859-1') WHEN 2 THEN encode({text}, 'UTF-16') WHEN 3 THEN encode({text}, 'UTF-8') END"
+    rows = carrier.listing(spark, sf_dir).selectExpr("project_id", "seq", "path", "'requirements.txt' AS name", f"{encoded} AS content")
+    return manifests.decoded(rows).select("project_id", "seq", "path", "text")
+
+
+@query(f"SELECT '{Settings().app_name}' AS application, '{Settings().version}' AS version, 'running' AS status, 'healthy' AS health")
+def service_info(spark, sf_dir):
+    return spark.createDataFrame([{**report.info(Settings()), "health": report.health()["status"]}], "application string, version string, status string, health string")
