@@ -485,12 +485,30 @@ def test_near_dedup_divides_large_blocks(spark, docs, monkeypatch):
                 w[r.randrange(120)] = f"x{r.randrange(10**6)}"
             rows.append((100 * i + g, " ".join(w)))
     monkeypatch.setattr(minhash, "TASK_DOCS", 8)
+    monkeypatch.setattr(minhash, "TASK_BYTES", 4_000)
     got = by_id(minhash.near_dedup(docs(rows)))
     wanted = brute_near(rows)
     assert {i: (x.n_shingles, x.component_id, x.kept) for i, x in got.items()} == wanted
     assert 3 < len({w[1] for w in wanted.values()}) < 100
 
 
+def test_near_dedup_of_a_long_chain(docs, monkeypatch):
+    """2,000 documents, each like the next only, are one component; no list has more than some twenty of them, and so no task has."""
+    rows = [(i, " ".join(f"w{k}" for k in range(i * 6, 120 + i * 6))) for i in range(2_000)]
+    made = []
+
+    def parted(members, *args):
+        made.append(members.count())
+        return wanted(members, *args)
+
+    wanted = minhash.parted
+    monkeypatch.setattr(minhash, "parted", parted)
+    got = minhash.near_dedup(docs(rows)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    # slim rows grow with the lists that a document is in, at most 17 of them
+    assert made[0] <= 17 * len(rows) and made[1] <= made[0]
+
+
 def test_secrets_in_common_forms(docs):
     key = "Zx9fQ2pLm4Ty7Kd0aPqW3rTnB8vHs1c"
     forms = [
