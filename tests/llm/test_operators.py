@@ -108,6 +108,30 @@ def brute_base(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
+@pytest.mark.parametrize("partitions", [4, 13])
+def test_a_line_run_has_one_file_a_bucket(spark, docs, monkeypatch, partitions):
+    """Whatever the number of shuffle partitions is, and though none are coalesced."""
+    import glob
+
+    made, write = [], line_dedup.LineRuns._write
+
+    def counted(self, rows):
+        name = write(self, rows)
+        made.append(len(glob.glob(f"{self.scratch.base.removeprefix('file://')}/{name}/*.parquet")))
+        return name
+
+    monkeypatch.setattr(line_dedup.LineRuns, "_write", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, (str(partitions), "false"), strict=True):
+            spark.conf.set(k, v)
+        assert line_dedup.line_dedup(docs([*ODD, *corpus()])).count() == len(ODD) + 120
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(made) >= 3 and max(made) <= partitions and sum(made) > 0
+
+
 def test_quality_base_measures(spark, docs):
     rows = [*BOTH, (2000, "a b c a b c d a b c " * 20), (2001, "x y\nx y\n \n \nx y"), (2002, "#$ <|> a&b " + "w " * 60)]
     labels = spark.createDataFrame([(i, 1) for i, _ in corpus()], "doc_id long, quality int")
