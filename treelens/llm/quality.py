@@ -29,20 +29,23 @@ SMOOTHING = 1.0
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
 
-def ngrams(w: Column, buckets: int) -> Column:
-    """Buckets of the words and of the pairs of neighbouring words of an array of words."""
-    return F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int")), F.zip_with(
-        F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")
-    )
+def pair_hashes(x: Column) -> Column:
+    """Hashes of the pairs of neighbours of an array."""
+    n = F.greatest(F.size(x) - 1, F.lit(0))
+    return F.zip_with(F.slice(x, 1, n), F.slice(x, 2, n), lambda a, b: F.xxhash64(a, b))
 
 
-def repeated_words(w: Column) -> Column:
+def bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets)).cast("int")
+
+
+def repeated_words(w: Column, pairs: Column) -> Column:
     """Words inside windows of three words that occur twice or more.
 
-    Windows are compared by hash; sorted with their places, equal ones stand
-    side by side.  Texts without a repeat, which are most, end at the count.
+    Windows are compared by hash, which is that of the hashes of their two
+    pairs; sorted with their places, equal ones stand side by side.  Texts
+    without a repeat, which are most, end at the count.
     """
-    n = F.size(w)
 
     def of_hashes(h: Column) -> Column:
         placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -54,19 +57,18 @@ def repeated_words(w: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(placed, of_placed))
 
-    hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return F.when(n < 3, F.lit(0)).otherwise(let(hashes, of_hashes))
+    return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(pair_hashes(pairs), of_hashes))
 
 
-def base_columns(text: Column, w: Column) -> dict[str, Column]:
-    """The base measures; ``w`` is the array of the text's words."""
+def base_columns(text: Column, w: Column, pairs: Column) -> dict[str, Column]:
+    """The base measures; ``w`` is the array of the text's words, ``pairs`` that of their pairs' hashes."""
     lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(SPACE)) != "")
     return {
         "n_words": F.size(w),
-        "word_chars": F.length(text) - F.length(F.regexp_replace(text, "[^ \\t-\\r]+", "")),
-        "n_symbols": F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")),
+        "word_chars": F.length(F.array_join(w, "")),
+        "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
-        "n_repeat_words": repeated_words(w),
+        "n_repeat_words": repeated_words(w, pairs),
     }
 
 
@@ -103,7 +105,8 @@ def fitted_threshold(scores: list[tuple[float, int]]) -> float:
 def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
     """(bucket, raw, target): n-grams of all documents, and of the trusted ones."""
     marked = docs.join(F.broadcast(trusted), "doc_id", "left").select(F.coalesce("trusted", F.lit(0)).alias("trusted"), words(F.coalesce("text", F.lit(""))).alias("w"))
-    grams = marked.select("trusted", F.explode(let(F.col("w"), lambda w: F.concat(*ngrams(w, buckets)))).alias("bucket"))
+    hashes = let(F.col("w"), lambda w: F.concat(F.transform(w, lambda x: F.xxhash64(x)), pair_hashes(w)))
+    grams = marked.select("trusted", F.explode(hashes).alias("h")).select("trusted", bucket(F.col("h"), buckets).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("target"))
 
 
@@ -120,10 +123,9 @@ def log_ratios(counts: DataFrame, buckets: int, smoothing: float = SMOOTHING) ->
     return [math.log((t + extra * p) / ((total_target + extra) * p)) for t, p in zip(target, share, strict=True)]
 
 
-def mean_ratio(w: Column, model: Column, buckets: int) -> Column:
-    total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(model, b))
-    one, two = ngrams(w, buckets)
-    return (total(one) + total(two)) / F.greatest(2 * F.size(w) - 1, F.lit(1))
+def mean_ratio(w: Column, pairs: Column, model: Column, buckets: int) -> Column:
+    total = lambda grams, hashed: F.aggregate(grams, F.lit(0.0), lambda acc, x: acc + F.get(model, bucket(hashed(x), buckets)))
+    return (total(w, F.xxhash64) + total(pairs, lambda h: h)) / F.greatest(2 * F.size(w) - 1, F.lit(1))
 
 
 def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float | None = None, trusted: int = TRUSTED, fitted: int = FITTED) -> DataFrame:
@@ -145,15 +147,16 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshol
     model = F.lit(ratios).cast("array<double>")
     if threshold is None:
         fit = docs.select("doc_id", "text").join(F.broadcast(sample.where("trusted = 0")), "doc_id").select("quality", words(F.coalesce("text", F.lit(""))).alias("w"))
-        fit = fit.where(F.size("w") >= MIN_WORDS).select(mean_ratio(F.col("w"), model, buckets).alias("score"), "quality")
+        fit = fit.where(F.size("w") >= MIN_WORDS).select(mean_ratio(F.col("w"), pair_hashes(F.col("w")), model, buckets).alias("score"), "quality")
         threshold = fitted_threshold([tuple(r) for r in fit.collect()])
 
-    def measures(w: Column) -> Column:
-        text = F.coalesce(F.col("text"), F.lit(""))
-        base = base_columns(text, w)
-        return F.struct(*(base[k].cast("long").alias(k) for k in names[:5]), mean_ratio(w, model, buckets).alias("score"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def measures(w: Column, pairs: Column) -> Column:
+        base = base_columns(text, w, pairs)
+        return F.struct(*(base[k].cast("long").alias(k) for k in names[:5]), mean_ratio(w, pairs, model, buckets).alias("score"))
 
-    measured = docs.select(F.struct("*").alias("row"), let(words(F.coalesce(F.col("text"), F.lit(""))), measures).alias("measures"))
+    measured = docs.select(F.struct("*").alias("row"), let(words(text), lambda w: let(pair_hashes(w), lambda pairs: measures(w, pairs))).alias("measures"))
     own = [F.col("row")[c].alias(c) for c in docs.columns] + [F.col("measures")[c].alias(c) for c in (*names[:5], "score")]
     n_words, n_repeat = F.col("measures.n_words"), F.col("measures.n_repeat_words")
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > REPEAT_PERCENT * n_words)
