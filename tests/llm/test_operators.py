@@ -224,6 +224,35 @@ def test_pieces_equal_the_library(docs):
         assert model.decode(ids) == library.decode(ids)
 
 
+def test_a_tokenizing_worker_holds_little(docs):
+    """What a worker holds follows neither Spark's batches nor, beyond a bound in bytes, the distinct words it has met."""
+    import sys
+
+    import pyarrow as pa
+
+    class Table:
+        schema = docs([]).schema
+        select = lambda self, *_: self
+        mapInArrow = lambda self, work, _: work  # noqa: E731, N815
+
+    texts = ["the " * (i % 600) for i in range(3_000)] + [None, "the " * 400_000, ""]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    for with_ids in (True, False):
+        out = list(pieces.tokenize(Table(), MODEL, with_ids)([batch, batch.slice(0, 0), batch.slice(1, 2)]))
+        assert all(sum(b["n_tokens"].to_pylist()) <= 300_000 or b["n_tokens"][-1].as_py() > 300_000 for b in out)
+        rows = pa.Table.from_batches(out).to_pylist()
+        model = pieces.load(open(MODEL, "rb").read())
+        assert [r["doc_id"] for r in rows] == [*range(len(texts)), 1, 2]
+        for r in rows:
+            ids = model.encode(texts[r["doc_id"]] or "")
+            assert r["n_tokens"] == len(ids) and r["ids_sha256"] == sha(" ".join(map(str, ids))) and r.get("ids", ids) == ids
+    model = pieces.PieceModel(open(MODEL, "rb").read())
+    model.encode(" ".join(f"{i * 7919:x}" for i in range(20_000)))
+    assert len(model) >= 20_000
+    held = sys.getsizeof(model) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in model.items())
+    assert held / len(model) * pieces.MEMORY < 60e6
+
+
 def brute_passages(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):

@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
+from array import array
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,14 +24,16 @@ from pyspark.sql import types as T
 #: The mark that stands for a space in pieces.
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: No piece goes on across the start of a run of MARK, nor across a line feed: texts fall into these.
-SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-#: Encoded segments kept by a worker, and the longest of them; a full memory is emptied.
-MEMORY, MEMORY_LENGTH = 500_000, 48
+#: No piece goes on across the start of a run of MARK, nor across a line feed: texts, with spaces for MARK, fall into these.
+SEGMENT = re.compile("\n| *[^ \n]+| +")
+#: Encoded segments, and pairs of pieces, that a worker remembers, and the longest of the segments; a full memory is emptied.
+MEMORY, MEMORY_LENGTH = 300_000, 48
+#: Ids after which a worker hands on what it has encoded, so that its memory doesn't follow Spark's batches.
+IDS_AT_ONCE = 250_000
 
 
 class PieceModel(dict):
-    """The vocabulary in the bytes of a model file; as a dict, the ids of segments met so far."""
+    """The vocabulary in the bytes of a model file; as a dict, the ids of segments met so far, as bytes of an array."""
 
     def __init__(self, data: bytes):
         import ahocorasick
@@ -42,7 +45,7 @@ class PieceModel(dict):
         norm = proto.normalizer_spec
         if proto.trainer_spec.model_type != 2 or norm.name != "identity" or norm.remove_extra_whitespaces or not proto.trainer_spec.byte_fallback:
             raise ValueError("needs a BPE model with byte fallback that leaves its input as it is")
-        self.prefix = MARK if norm.add_dummy_prefix else ""
+        self.prefix = " " if norm.add_dummy_prefix else ""
         self.names = [p.piece for p in proto.pieces]
         self.types = [p.type for p in proto.pieces]
         self.score = {p.piece: p.score for p in proto.pieces if p.type == NORMAL}
@@ -56,15 +59,18 @@ class PieceModel(dict):
         self.surface = [self._surface(i) for i in range(len(self.names))]
         self.automaton = ahocorasick.Automaton()
         for p in self.score:
-            self.automaton.add_word(p, (len(p) - 1, p))
+            self.automaton.add_word(p, (len(p) - 1, self.ids[p]))
         self.automaton.make_automaton()
-        self.pair: dict[tuple[str | None, str], bool] = {}
+        self.lengths = list(map(len, self.names))
+        #: Of each piece the longest that is a proper prefix, or -1.
+        self.shorter = [next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), -1) for p in self.names]
+        #: Whether two ids fit, by first * number of pieces + second.
+        self.pair: dict[int, bool] = {}
         self.characters = {p for p in self.score if len(p) == 1}
         if not self.characters.issuperset("".join(self.score)):
             raise ValueError("has pieces with characters that are no pieces")
         known = "".join(map(re.escape, self.characters))
         self.runs = re.compile(f"([{known}]+)|([^{known}]+)")
-        self.prefixes: dict[str, str] = {}
 
     def _surface(self, i: int) -> bytes:
         if self.types[i] == BYTE:
@@ -86,59 +92,54 @@ class PieceModel(dict):
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, last: str | None, piece: str) -> bool:
-        """Whether merging gives these two again, or, without a last one, the piece alone."""
+    def fits(self, last: int, piece: int) -> bool:
+        """Whether merging gives these two again, or, with -1 for the last one, the piece alone."""
         if len(self.pair) >= MEMORY:
             self.pair.clear()
-        found = self.pair[last, piece] = self.merge((last or "") + piece) == ([last, piece] if last else [piece])
+        parts = [self.names[i] for i in (last, piece) if i >= 0]
+        found = self.pair[last * len(self.names) + piece] = self.merge("".join(parts)) == parts
         return found
 
-    def shorter(self, piece: str) -> str:
-        """The longest piece that is a proper prefix, or ''."""
-        if (known := self.prefixes.get(piece)) is None:
-            known = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.score), "")
-            self.prefixes[piece] = known
-        return known
-
-    def backtrack(self, text: str) -> list[str]:
-        """The pieces of a text of known characters."""
-        longest = [""] * len(text)
-        for end, (back, p) in self.automaton.iter(text):
-            longest[end - back] = p  # ends only rise, so that the last piece at a start is the longest
+    def backtrack(self, text: str) -> list[int]:
+        """The ids of the pieces of a text of known characters."""
+        longest = [-1] * len(text)
+        for end, (back, i) in self.automaton.iter(text):
+            longest[end - back] = i  # ends only rise, so that the last piece at a start is the longest
         size = len(text)
         alive = bytearray(b"\xff" * (size // 8 + 1))
-        out: list[str] = []
-        pairs, fits, shorter = self.pair, self.fits, self.shorter
-        last, pos, piece = None, 0, longest[0]
+        out: list[int] = []
+        pairs, fits, shorter, lengths, width = self.pair, self.fits, self.shorter, self.lengths, len(self.names)
+        last, pos, piece = -1, 0, longest[0]
         while pos < size:
-            while piece:
-                end = pos + len(piece)
+            while piece >= 0:
+                end = pos + lengths[piece]
                 if alive[end >> 3] >> (end & 7) & 1:
-                    if (known := pairs.get((last, piece))) is None:
+                    if (known := pairs.get(last * width + piece)) is None:
                         known = fits(last, piece)
                     if known:
                         break
-                piece = shorter(piece)
-            if piece:
+                piece = shorter[piece]
+            if piece >= 0:
                 out.append(piece)
                 last, pos = piece, end
-                piece = longest[pos] if pos < size else ""
+                piece = longest[pos] if pos < size else -1
             else:
                 alive[pos >> 3] &= ~(1 << (pos & 7)) & 0xFF
                 piece = out.pop()
-                pos -= len(piece)
-                last = out[-1] if out else None
+                pos -= lengths[piece]
+                last = out[-1] if out else -1
         return out
 
-    def __missing__(self, segment: str) -> tuple[int, ...]:
+    def __missing__(self, segment: str) -> bytes:
         """The ids of a segment; characters without a piece become their bytes."""
-        if self.characters.issuperset(segment):
-            found = tuple(map(self.ids.__getitem__, self.backtrack(segment)))
+        marked = segment.replace(" ", MARK)
+        if self.characters.issuperset(marked):
+            ids = self.backtrack(marked)
         else:
-            ids: list[int] = []
-            for known, other in self.runs.findall(segment):
-                ids += map(self.ids.__getitem__, self.backtrack(known)) if known else map(self.bytes.__getitem__, other.encode("utf-8", "surrogatepass"))
-            found = tuple(ids)
+            ids = []
+            for known, other in self.runs.findall(marked):
+                ids += self.backtrack(known) if known else map(self.bytes.__getitem__, other.encode("utf-8", "surrogatepass"))
+        found = array("i", ids).tobytes()
         if len(segment) <= MEMORY_LENGTH:
             if len(self) >= MEMORY:
                 self.clear()
@@ -147,8 +148,8 @@ class PieceModel(dict):
 
     def encode(self, text: str) -> list[int]:
         """Ids with the end id; the empty text has the end id only."""
-        marked = (self.prefix + text.replace(" ", MARK)) if text else ""
-        ids = list(chain.from_iterable(map(self.__getitem__, SEGMENT.findall(marked))))
+        spaced = (self.prefix + text.replace(MARK, " ")) if text else ""
+        ids = array("i", b"".join(map(self.__getitem__, SEGMENT.findall(spaced)))).tolist()
         ids.append(self.end)
         return ids
 
@@ -211,7 +212,8 @@ def tokenize(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFra
 
     A null text is encoded as the empty one.  Null and repeated doc_ids pass
     through.  Every row is encoded by itself, in batches that Arrow bounds by
-    rows and bytes, so that there is no shuffle.  The vocabulary is read by the
+    rows and bytes, so that there is no shuffle; what is encoded goes on after
+    IDS_AT_ONCE ids, whatever the batch.  The vocabulary is read by the
     driver, and sent to the workers with the code (0.5 MB, whatever the data).
     """
     with open(model_path, "rb") as f:
@@ -224,17 +226,22 @@ def tokenize(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFra
     def work(batches):
         model = load(data)
         for batch in batches:
-            counts, shas, decoded, rows = [], [], [], []
+            start, counts, shas, decoded, flat, total = 0, [], [], [], array("i"), 0
             for text in batch.column(1):
                 ids = model.encode(text.as_py() or "")
                 counts.append(len(ids))
                 shas.append(hashlib.sha256(" ".join(map(model.texts.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(digest(model.decode(ids)))
                 if with_ids:
-                    rows.append(ids)
-            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
-            if with_ids:
-                arrays.append(pa.array(rows, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
+                    flat.extend(ids)
+                total += len(ids)
+                if total < IDS_AT_ONCE and start + len(counts) < batch.num_rows:
+                    continue
+                arrays = [batch.column(0).slice(start, len(counts)), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
+                if with_ids:
+                    values = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])
+                    arrays.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), values))
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in fields])
+                start, counts, shas, decoded, flat, total = start + len(counts), [], [], [], array("i"), 0
 
     return docs.select("doc_id", "text").mapInArrow(work, T.StructType(fields))
