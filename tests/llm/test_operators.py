@@ -466,6 +466,65 @@ def test_learned_counts_beat_the_lattice_on_held_out_text(spark):
     assert row[0] > row[1]
 
 
+def test_scores_of_held_out_text_are_near_the_base(spark):
+    rows = queries.op9_lm_score(spark, SF_DIR).where("held_out").collect()
+    assert len(rows) == sum(zlib.crc32(str(r.doc_id).encode()) % 10 == 0 for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect())
+    assert all(math.isfinite(r[c]) for r in rows for c in ("base_score", "score", "mixed_score", "lattice_score"))
+    # base gives every new word the same, and a law over all words can't; by the ranks alone the sum was 2.08 times the base's
+    base, score, alone = (sum(r[c] for r in rows) for c in ("base_score", "score", "lattice_score"))
+    assert 1.25 * base < score and 1.35 * base < alone
+
+
+def test_words_side_by_side_score_as_alone(monkeypatch):
+    lattice = lattice_lm.Lattice(open(MODEL, "rb").read())
+    odd = ["the", "a\U0001f9ffb", "\U0001f9ff" * 7, "x" * 31, "x" * 32, "x" * 5_000, "\x00", "\ud800", "\u00a0x\u2028y", "\u2581", "caf\u00e9###", "\U0001f9ff"]
+    known = [b"", *(w.encode("utf-8", "surrogatepass") for w in odd)]
+    for some in (known, known[:2], [b""], []):
+        assert lattice.words(some) == pytest.approx([lattice.word(w) for w in some], rel=1e-9)
+    monkeypatch.setattr(lattice_lm, "LEAST", 1e-3)
+    assert lattice.words(known) == pytest.approx([lattice.word(w) for w in known], rel=1e-9)
+
+
+def test_expected_pieces_are_those_of_all_cuts():
+    lattice = lattice_lm.Lattice(open(MODEL, "rb").read())
+    names = list(lattice.logs)
+
+    def cuts(text):
+        if not text:
+            yield 1.0, []
+        for n in range(1, len(text) + 1):
+            if text[:n] in lattice.logs or len(text[0].encode()) == 4:
+                for p, more in cuts(text[n:]):
+                    yield p * math.exp(lattice.logs.get(text[:n], 0.0)), [text[:n], *more]
+
+    wanted = Counter()
+    for word, n in (("station", 3), ("the", 5), ("a\U0001f9ffb", 2)):
+        every = [c for c in cuts("\u2581" + word) if all(x in lattice.logs or x == "\U0001f9ff" for x in c[1])]
+        for p, own in every:
+            for piece in own:
+                wanted[piece] += n * p / sum(q for q, _ in every)
+    del wanted["\U0001f9ff"]
+    got = lattice.expected([b"station", b"", b"the", "a\U0001f9ffb".encode()], [3, 9, 5, 2])
+    assert {names[i]: got[i] for i in got.nonzero()[0]} == pytest.approx(dict(wanted))
+
+
+def test_cached_scores_count_the_words_before(monkeypatch):
+    import numpy as np
+
+    sizes, tokens = np.array([1, 6, 2, 5, 3]), np.array([0, 1, 2, 1, 1, 3, 0, 1, 0, 2, 2, 2, 2, 0, 1, 3, 0], np.uint32)
+    mixed, wanted, at = np.array([-1.0, -2.0, -3.0, -500.0]), [], 0
+    for n in sizes:
+        own, total = tokens[at : at + n].tolist(), 0.0
+        for k, w in enumerate(own):
+            share = own[:k].count(w) / k if k else 0
+            total += math.log10(0.9 * 10 ** mixed[w] + 0.1 * share) if share else mixed[w] + (math.log10(0.9) if k else 0)
+        wanted.append(total)
+        at += n
+    for at_once in (1, 7, 500_000):
+        monkeypatch.setattr(lattice_lm, "CACHED_AT_ONCE", at_once)
+        assert lattice_lm.cached(mixed, tokens, sizes).tolist() == pytest.approx(wanted)
+
+
 def test_budgets_go_to_siblings_before_ancestors(spark):
     leaves = spark.createDataFrame([("web", "en", "src0", 1000), ("web", "en", "src1", 10), ("web", "de", "src2", 100), ("books", "en", "src5", 50)], "domain string, mix_lang string, mix_source string, tokens long")
     weights = {"domain": {"web": 1, "books": 1}, "lang": {"en": 1, "de": 1}, "source": {}}

@@ -5,9 +5,15 @@ pieces; the forward recursion sums over all of them in log space, and gives the
 word's marginal probability.  A document's score is the sum over its words and
 its end: the marginal probability of its text.
 
+The pieces' probabilities are those of their ranks, or are learned from the
+words of the training documents: forward and backward sums give how often each
+piece is expected in them (Baum and Welch), added up over all words once a
+round; what the driver gets is one number a piece.
+
 Counts of words in the training documents stand beside it: they give the base
 score, and a second score whose lattices have one more arc, across the whole
-word, P(word) = (count + distinct * marginal) / (tokens + distinct).
+word, P(word) = (count + distinct * marginal) / (tokens + distinct).  A third
+one mixes that with the words that the document has had so far.
 
 No worker holds the words of the corpus.  Each task reads its texts once, as
 chunks of bounded size: the chunk's distinct words with their counts, and its
@@ -39,10 +45,17 @@ END_MASS, BYTE_MASS = 0.002, 0.001
 #: The end, among words: no word is empty.
 END = b""
 HELD_OUT = 10
+#: Share of the ranks' probabilities in those that are learned: no piece is impossible.
+PRIOR = 0.001
+#: Characters of a text that are summed up without logs; a longer one is learned from in stretches of that, and scored in logs.
+STRETCH, LEAST = 32, 1e-280
+#: Share of the document's own earlier words in the third score, and tokens whose earlier places are counted at once.
+CACHE, CACHED_AT_ONCE = 0.1, 500_000
 
 
 class Lattice:
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, learned: list[float] | None = None):
+        """``learned``: logs of the pieces' probabilities, as ``learn`` gives them, instead of those by rank."""
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
 
@@ -50,12 +63,15 @@ class Lattice:
         proto.ParseFromString(data)
         weights = {p.piece: 1 / (SHIFT - p.score) for p in proto.pieces if p.type == NORMAL}
         scale = (1 - END_MASS - BYTE_MASS) / sum(weights.values())
-        self.logs = {p: math.log(w * scale) for p, w in weights.items()}
+        self.logs = {p: math.log(w * scale) for p, w in weights.items()} if learned is None else dict(zip(weights, learned, strict=True))
         self.byte = math.log(BYTE_MASS / sum(p.type == BYTE for p in proto.pieces))
         self.automaton = ahocorasick.Automaton()
-        for p, log in self.logs.items():
+        self.numbers = ahocorasick.Automaton()
+        for n, (p, log) in enumerate(self.logs.items()):
             self.automaton.add_word(p, (len(p), log))
+            self.numbers.add_word(p, n)
         self.automaton.make_automaton()
+        self.numbers.make_automaton()
 
     def known(self, text: str) -> float:
         """Log of the sum over all ways to cut a text of known characters."""
@@ -84,6 +100,145 @@ class Lattice:
             run = ""
         return total + (self.known(run) if run else 0.0)
 
+    def words(self, words: list[bytes]) -> list[float]:
+        """``word`` of each; those of common length go through the recursion side by side."""
+        import numpy as np
+
+        short = [n for n, w in enumerate(words) if w != END and len(w) < STRETCH]
+        out = [0.0] * len(words)
+        for n in set(range(len(words))).difference(short):
+            out[n] = self.word(words[n])
+        if short:
+            sums = Arcs(self, [MARK + words[n].decode("utf-8", "surrogatepass") for n in short], self.byte).forward()[1]
+            logs = np.log(np.maximum(sums, LEAST)).tolist()
+            for n, enough, log in zip(short, (sums > LEAST).tolist(), logs, strict=True):
+                out[n] = log if enough else self.word(words[n])
+        return out
+
+    def expected(self, words: list[bytes], counts: list[int]):
+        """How often each piece, by number, is expected in words with their counts."""
+        texts, weights = [], []
+        for w, c in zip(words, counts, strict=True):
+            if w != END:
+                text = MARK + w.decode("utf-8", "surrogatepass")
+                for at in range(0, len(text), STRETCH):
+                    texts.append(text[at : at + STRETCH])
+                    weights.append(c)
+        return Arcs(self, texts, 0.0).expected(weights)
+
+
+class Arcs:
+    """All arcs of the lattices of short texts, which lie one behind the other and are gone through side by side, an end at a time."""
+
+    def __init__(self, lattice: Lattice, texts: list[str], byte: float):
+        """byte: log of what a byte of a character without a piece costs; it cancels out of what is expected."""
+        from itertools import chain
+
+        import numpy as np
+
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        joined = "\n".join([*texts, ""])
+        strange = set(joined) - lattice.logs.keys() - {"\n"}
+        odd = []
+        if strange:
+            odd = [(n, byte * len(c.encode("utf-8", "surrogatepass"))) for n, c in enumerate(joined) if c in strange]
+            # no piece has a line feed
+            joined = joined.translate(dict.fromkeys(map(ord, strange), "\n"))
+        found = np.fromiter(chain.from_iterable(lattice.numbers.iter(joined)), np.int64).reshape(-1, 2)
+        logs, sizes = np.array(list(lattice.logs.values())), np.fromiter(map(len, lattice.logs), np.int64, len(lattice.logs))
+        end = found[:, 0] + 1
+        self.size, self.pieces = len(joined), len(logs)
+        self.first = np.cumsum(lengths + 1) - lengths - 1
+        self.last = self.first + lengths
+        ends = np.concatenate([end, np.array([n + 1 for n, _ in odd], np.int64)])
+        starts = np.concatenate([end - sizes[found[:, 1]], np.array([n for n, _ in odd], np.int64)])
+        # a character without a piece counts as one piece more
+        piece = np.concatenate([found[:, 1], np.full(len(odd), self.pieces)])
+        weight = np.exp(np.concatenate([logs[found[:, 1]], np.array([log for _, log in odd])]))
+        offset = ends - np.repeat(self.first, lengths + 1)[ends - 1]
+        order = np.argsort(offset.astype(np.int16), kind="stable")
+        self.starts, self.ends, self.piece, self.weight = starts[order], ends[order], piece[order], weight[order]
+        bounds = np.searchsorted(offset[order], np.arange(1, lengths.max(initial=0) + 2))
+        self.steps = [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def forward(self):
+        """Sums up to each place, and of each text as a whole."""
+        import numpy as np
+
+        alpha = np.zeros(self.size + 1)
+        alpha[self.first] = 1.0
+        for s in self.steps:
+            np.add.at(alpha, self.ends[s], alpha[self.starts[s]] * self.weight[s])
+        return alpha, alpha[self.last]
+
+    def expected(self, counts: list[int]):
+        import numpy as np
+
+        alpha, sums = self.forward()
+        beta, out = np.zeros(self.size + 1), np.zeros(self.pieces + 1)
+        beta[self.last] = np.array(counts, float) / np.maximum(sums, LEAST)
+        for s in reversed(self.steps):
+            behind = self.weight[s] * beta[self.ends[s]]
+            np.add.at(beta, self.starts[s], behind)
+            out += np.bincount(self.piece[s], behind * alpha[self.starts[s]], self.pieces + 1)
+        return out[:-1]
+
+
+def learn(vocabulary: DataFrame, data: bytes, rounds: int) -> list[float] | None:
+    """Logs of the pieces' probabilities after some rounds over all words (word, count) of training documents; None without a round."""
+    import numpy as np
+
+    ranks, learned = np.exp(np.array(list(Lattice(data).logs.values()))), None
+    for _ in range(rounds):
+        now = learned
+
+        def expect(batches):
+            lattice, total = Lattice(data, now), np.zeros(len(ranks))  # noqa: B023
+            for batch in batches:
+                total += lattice.expected(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            found = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["piece", "n"])
+
+        rows = vocabulary.where("count > 0").select("word", "count").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(len(ranks))
+        counts[rows["piece"].to_numpy()] = rows["n"].to_numpy()
+        share = counts / counts.sum() * ranks.sum() if counts.sum() else ranks
+        # rounded, as sums come in any order
+        learned = np.round(np.log((1 - PRIOR) * share + PRIOR * ranks), 9).tolist()
+    return learned
+
+
+def earlier(tokens, sizes):
+    """Of each token of documents with these sizes: how often it was in its document before, and the tokens before it."""
+    import numpy as np
+
+    document = np.repeat(np.arange(len(sizes)), sizes)
+    before = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((tokens, document))
+    a, b = document[order], tokens[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    seen = np.empty(len(tokens), np.int64)
+    seen[order] = np.arange(len(tokens)) - np.repeat(new, np.diff(np.append(new, len(tokens))))
+    return seen, before
+
+
+def cached(mixed, tokens, sizes):
+    """Sums a document of log10 probabilities of words, each mixed with its share of the words before it."""
+    import numpy as np
+
+    out, at, first = np.empty(len(sizes)), 0, 0
+    while first < len(sizes):
+        stop = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), CACHED_AT_ONCE, "right")))
+        own, n = sizes[first:stop], int(sizes[first:stop].sum())
+        places = tokens[at : at + n]
+        seen, before = earlier(places, own)
+        log = mixed[places] + np.where(before > 0, math.log10(1 - CACHE), 0.0)
+        again = np.flatnonzero(seen)
+        log[again] = np.log10(10 ** log[again] + CACHE * seen[again] / before[again])
+        out[first:stop] = np.add.reduceat(log, np.cumsum(own) - own)
+        first, at = stop, at + n
+    return out
+
 
 GAP = re.compile(rb"[ \t-\r]")
 
@@ -139,11 +294,13 @@ class Chunk:
         return pa.RecordBatch.from_pydict(columns)
 
 
-def lm_score(docs: DataFrame, model_path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score of each row of ``docs`` (doc_id, text).
+def lm_score(docs: DataFrame, model_path: str, chunk_bytes: int = CHUNK_BYTES, rounds: int = 0) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score, cached_score of each row of ``docs`` (doc_id, text).
 
-    score is the lattice's marginal, mixed_score that of lattices with the arcs
-    of counted words.  Documents with crc32(doc_id) mod 10 = 0 are held out;
+    score is the marginal of the lattice of pieces, whose probabilities go by
+    rank, or are learned in so many ``rounds``; mixed_score that of lattices
+    with the arcs of counted words, and cached_score takes a word by CACHE from
+    the words before it in its document.  Documents with crc32(doc_id) mod 10 = 0 are held out;
     the others train.  A null doc_id counts as the empty string, which is held
     out; a null text is empty and has the end only.  Rows that repeat a doc_id
     count and are scored each.  Without any training token the mixed score is
@@ -176,16 +333,19 @@ def lm_score(docs: DataFrame, model_path: str, chunk_bytes: int = CHUNK_BYTES) -
     cuts = docs.select("doc_id", "text", held.alias("held_out")).mapInArrow(cut, T.StructType([T.StructField(*f) for f in fields]))
     chunks = scratch.write(cuts, "chunks")
 
+    summed = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("count"))
+    counted = scratch.write(summed, "vocabulary", slim=True)
+    train, distinct = counted.agg(F.sum("count"), F.count_if(F.col("count") > 0)).first()
+    train = train or 0
+    learned = learn(counted, data, rounds)
+
     def marginals(batches):
-        lattice = Lattice(data)
+        lattice = Lattice(data, learned)
         for batch in batches:
-            logs = [lattice.word(w) for w in batch.column(0).to_pylist()]
+            logs = lattice.words(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], names=["word", "count", "log"])
 
-    summed = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("count"))
-    vocabulary = scratch.write(summed.mapInArrow(marginals, "word binary, count long, log double"), "vocabulary", slim=True)
-    train, distinct = vocabulary.agg(F.sum("count"), F.count_if(F.col("count") > 0)).first()
-    train = train or 0
+    vocabulary = counted.mapInArrow(marginals, "word binary, count long, log double")
 
     def score(key, left, right):
         import numpy as np
@@ -203,11 +363,12 @@ def lm_score(docs: DataFrame, model_path: str, chunk_bytes: int = CHUNK_BYTES) -
         starts = np.cumsum(sizes) - sizes
         every = np.frombuffer(zstandard.decompress(left["places"][0].as_py()), np.uint32)
         out = {"doc_id": one("ids"), "held_out": one("held_out"), "n_tokens": pa.array(sizes), "n_known": pa.array(np.add.reduceat((c > 0)[every], starts, dtype=np.int64)), "train_tokens": pa.array(np.full(len(sizes), train, np.int64))}
-        return pa.table(out | {name: pa.array(np.add.reduceat(values[every], starts)) for name, values in (("base_score", base), ("score", alone), ("mixed_score", mixed))})
+        sums = {name: pa.array(np.add.reduceat(values[every], starts)) for name, values in (("base_score", base), ("score", alone), ("mixed_score", mixed))}
+        return pa.table(out | sums | {"cached_score": pa.array(cached(mixed, every, sizes))})
 
     # both sides of the join are plain shuffles, so that Spark may divide a word that all chunks have
     asked = chunks.select(F.col("chunk").alias("asker"), F.posexplode("words").alias("pos", "word"))
     answers = asked.join(vocabulary.hint("merge"), "word").select("asker", "pos", "count", "log")
-    fields = [T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "mixed_score"))]
+    fields = [T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score", "mixed_score", "cached_score"))]
     own = chunks.select("chunk", "ids", "held_out", "sizes", "places")
     return own.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(score, T.StructType(fields))

@@ -55,7 +55,9 @@ def op8_secret_scan(spark, sf_dir):
 
 
 def op9_lm_score(spark, sf_dir):
-    return lattice_lm.lm_score(table(spark, sf_dir, "documents"), piece_model())
+    """score is the marginal of the lattice with all its learned arcs, pieces and counted words; lattice_score that of the pieces alone."""
+    scored = lattice_lm.lm_score(table(spark, sf_dir, "documents"), piece_model(), rounds=3)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.col("mixed_score").alias("score"), F.col("cached_score").alias("mixed_score"), F.col("score").alias("lattice_score"))
 
 
 def op10_mixing(spark, sf_dir):
