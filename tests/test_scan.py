@@ -341,3 +341,31 @@ def test_roots_of_random_trees_equal_the_plain_walk(spark, tmp_path):
     for row in c.source_roots.join(c.projects, "project_id").orderBy("rank").collect():
         got.setdefault(row.root_path, []).append((row.score, row.path))
     assert got == {p: reference_roots(Path(p), set(rules.ROOT_IGNORE_DIRS)) for p in paths}
+
+
+def test_sources_hand_their_rows_on_in_small_batches(spark, tmp_path):
+    """A worker holds few files of a large partition, and few bytes of large files."""
+    import json
+
+    from pyspark.sql.types import _parse_datatype_string
+
+    from treelens.sources import tree as source
+
+    files = {f"src/m{i}.py": f"import os\nclass C{i}: pass\n" for i in range(1_201)} | {f"src/large{i}.py": "# " + "x" * 300_000 + "\n" for i in range(9)}
+    root = tree(tmp_path / "p", files)
+    # options have no upper case
+    options = {"paths": json.dumps([root]), "extensions": json.dumps([".py"])}
+    for kind in (source.ProjectTree, source.ProjectContents):
+        made = kind(options)
+        reader, found = made.reader(_parse_datatype_string(made.schema())), []
+        for p in reader.partitions():
+            for b in reader.read(p):
+                assert 0 < b.num_rows <= source.BATCH_ROWS and b.nbytes < source.BATCH_BYTES + 310_000
+                found += b.column("path").to_pylist()
+        assert sorted(x for x in found if x.endswith(".py")) == sorted(files)
+    c = scan(spark, root)
+    got = {r.path: ([x.name for x in r.classes], r.deps) for r in c.parsed.collect()}
+    assert got == {p: ([f"C{p[5:-3]}"], ["os"]) if p.startswith("src/m") else ([], []) for p in files}
+    contents = spark.createDataFrame([("p", p, t.encode()) for p, t in files.items()], "project_id string, path string, content binary").coalesce(1)
+    assert {r.path: ([x.name for x in r.classes], r.deps) for r in pyast.symbols(contents).collect()} == got
+    c.unpersist()

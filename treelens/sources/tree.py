@@ -16,6 +16,8 @@ from ..schemas import LISTING
 
 #: What a walk does with an entry: lists a file, lists a directory only, or goes into it.
 FILE, STAY, DESCEND = "file", "stay", "descend"
+#: Rows of a batch that leaves a source at most, and about how many bytes of them.
+BATCH_ROWS, BATCH_BYTES = 500, 1_000_000
 #: Subtrees of a project from which planning opens no more levels, and levels it opens at most.
 SPREAD, LEVELS = 64, 3
 
@@ -43,6 +45,36 @@ class Subtrees(InputPartition):
         self.root, self.project_id, self.directories, self.flat = root, project_id, directories, flat
 
 
+def _weight(row: tuple) -> int:
+    return sum(len(x) for x in row if isinstance(x, str | bytes))
+
+
+class Batches(DataSourceReader):
+    """The rows of a reader as Arrow batches, so that a worker holds few of them, however many a partition has."""
+
+    def __init__(self, reader: DataSourceReader, schema):
+        self.reader, self.schema = reader, schema
+
+    def partitions(self):
+        return self.reader.partitions()
+
+    def read(self, partition):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(self.schema)
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        rows, size = [], 0
+        for row in self.reader.read(partition):
+            rows.append(row)
+            size += _weight(row)
+            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+
 class ProjectTree(DataSource):
     """Options: path (one), or paths (a JSON list); ruleset scan (default) or roots; ignore_dirs (a JSON list) instead of the ruleset's own.
 
@@ -61,7 +93,7 @@ class ProjectTree(DataSource):
         return LISTING
 
     def reader(self, schema) -> DataSourceReader:
-        return TreeReader(self.options)
+        return Batches(TreeReader(self.options), schema)
 
 
 class TreeReader(DataSourceReader):
@@ -163,7 +195,7 @@ class ProjectContents(DataSource):
         return "project_id string, path string, content binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return ContentReader(self.options)
+        return Batches(ContentReader(self.options), schema)
 
 
 class ContentReader(TreeReader):
